@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontam, toxicity, urlrules
+from loomgraph.llm import bpe, decontam, rans, toxicity, urlrules
 from loomgraph.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def op(name: str, sql: str | None = None):
     return put
 
 
+@op("op1_rans_ids")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = rans.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rans.read(spark, path)
+
+
 @op("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
