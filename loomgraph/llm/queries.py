@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontam, jaccard, pii, rans, topk, toxicity, urlrules
+from loomgraph.llm import bpe, decontam, jaccard, pii, quotes, rans, topk, toxicity, urlrules
 from loomgraph.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~toxicity.learn_rows(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@op("op4_quotation_links")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 @op(
     "op6_decontamination",
     r"""
