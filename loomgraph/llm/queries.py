@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontam, jaccard, pii, quotes, rans, topk, toxicity, urlrules
+from loomgraph.llm import bpe, decontam, hpylm, jaccard, pii, quotes, rans, topk, toxicity, urlrules
 from loomgraph.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(table(spark, sf_dir, "conversations"))
 
 
+@op("op5_pitman_yor")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @op(
     "op6_decontamination",
     r"""
