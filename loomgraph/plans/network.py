@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import capital
+from loomgraph.operators import graph as G
+from loomgraph.operators.components import connected_components
 from loomgraph.plans.registry import query
 from loomgraph.storage import table
 
@@ -29,3 +32,173 @@ def triples_network(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
     )
     return triples.groupBy("source").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "source").limit(30)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier to part by return flag, as an edge table with line order. Relations: A produces, N degrades, R inhibits."""
+    li = table(spark, sf_dir, "lineitem")
+    rel = F.when(F.col("l_returnflag") == "A", "PRODUCES").when(F.col("l_returnflag") == "N", "DEGRADES").otherwise("INHIBITS")
+    return li.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), rel.alias("rel"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), "l_quantity")
+
+
+_E = """e AS (SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst, CASE l_returnflag WHEN 'A' THEN 'PRODUCES' WHEN 'N' THEN 'DEGRADES' ELSE 'INHIBITS' END AS rel,
+      l_orderkey * 8 + l_linenumber AS k, l_quantity FROM lineitem)"""
+_LAST = "s AS (SELECT src, dst, last(rel ORDER BY k, rel) AS rel FROM e WHERE l_quantity > 40 GROUP BY src, dst)"
+
+
+def _simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _edges(spark, sf_dir).filter("l_quantity > 40")
+    return G.last_edge(e.withColumn("o", F.struct("k", "rel")), "o")
+
+
+@query(
+    "degree_topk",
+    f"WITH {_E}, d AS (SELECT id, sum(i) AS in_degree, sum(o) AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY id) "
+    "SELECT id, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree, CAST(in_degree + out_degree AS BIGINT) AS degree FROM d ORDER BY degree DESC, id LIMIT 30",
+)
+def degree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In, out and total degree; the 30 largest, ties by name."""
+    d = G.degrees(_edges(spark, sf_dir))
+    return d.select("id", F.col("in_degree").cast("long"), F.col("out_degree").cast("long"), "degree").orderBy(F.desc("degree"), "id").limit(30)
+
+
+@query(
+    "degree_histogram",
+    f"WITH {_E}, d AS (SELECT dst, count(*) AS n FROM e GROUP BY dst) SELECT CAST(least(floor(n / 5.0), 99) AS INTEGER) AS bin, count(*) AS vertices, min(n) AS lo, max(n) AS hi, round(avg(n), 6) AS mean FROM d GROUP BY 1",
+)
+def degree_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degree distribution in bins of fixed width, with least, largest and mean degree."""
+    d = _edges(spark, sf_dir).groupBy("dst").agg(F.count("*").alias("n"))
+    return d.groupBy(F.least(F.floor(F.col("n") / 5), F.lit(99)).cast("int").alias("bin")).agg(F.count("*").alias("vertices"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+_BOND = "b AS (SELECT DISTINCT 'c' || (o_custkey // 10) AS u, 'p' || (l_partkey // 4) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 49 AND l_discount > 0.06)"
+
+
+def _bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 49 and l_discount > 0.06").select("l_orderkey", "l_partkey")
+    name = lambda p, c, n: F.concat(F.lit(p), F.floor(F.col(c) / n).cast("string"))
+    return o.join(li, o.o_orderkey == li.l_orderkey).select(name("c", "o_custkey", 10).alias("src"), name("p", "l_partkey", 4).alias("dst")).distinct()
+
+
+@query(
+    "wcc_sizes",
+    f"""
+    WITH RECURSIVE {_BOND}, g AS (SELECT u, v FROM b UNION ALL SELECT v, u FROM b),
+    r(id, root) AS (SELECT DISTINCT u, u FROM g UNION SELECT g.v, r.root FROM r JOIN g ON r.id = g.u),
+    c AS (SELECT id, min(root) AS component FROM r GROUP BY id)
+    SELECT component, count(*) AS n FROM c GROUP BY component
+    """,
+)
+def wcc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the weakly connected components, named by their smallest vertex."""
+    return connected_components(_bonds(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query("scc_sizes")
+def scc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongly connected components of a sparse digraph; tested on fixtures."""
+    e = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("src"), F.pmod(F.col("n_nationkey") * 7 + 3, F.lit(11)).cast("long").alias("dst"))
+    return G.strongly_connected(e).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query(
+    "jaccard_pairs",
+    f"""
+    WITH {_E}, u AS (SELECT DISTINCT src, dst FROM e WHERE l_quantity > 45), d AS (SELECT src, count(*) AS n FROM u GROUP BY src),
+    c AS (SELECT a.src AS a, b.src AS b, count(*) AS common FROM u a JOIN u b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2)
+    SELECT c.a, c.b, common, round(common * 1.0 / (x.n + y.n - common), 9) AS jaccard FROM c JOIN d x ON x.src = c.a JOIN d y ON y.src = c.b
+    """,
+)
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of the neighbour sets of suppliers that share a part."""
+    j = G.jaccard_pairs(_edges(spark, sf_dir).filter("l_quantity > 45"))
+    return j.withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query(
+    "edge_type_subgraph",
+    f"""
+    WITH {_E}, f AS (SELECT * FROM e WHERE rel = 'INHIBITS' AND NOT (src = 'S1' AND dst = 'P1')), k AS (SELECT src FROM f GROUP BY src HAVING count(*) >= 50)
+    SELECT src, count(*) AS edges, count(DISTINCT dst) AS targets FROM f WHERE src IN (SELECT src FROM k) GROUP BY src
+    """,
+)
+def edge_type_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of one type, their sources of sufficient degree."""
+    f = _edges(spark, sf_dir).filter("rel = 'INHIBITS' and not (src = 'S1' and dst = 'P1')")
+    return f.groupBy("src").agg(F.count("*").alias("edges"), F.countDistinct("dst").alias("targets")).filter("edges >= 50")
+
+
+@query("edge_type_counts", f"WITH {_E} SELECT rel, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY rel")
+def edge_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).groupBy("rel").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+
+
+@query("triad_counts", f"WITH {_E}, {_LAST} SELECT least(a.rel, b.rel) || '|' || greatest(a.rel, b.rel) AS kind, count(*) AS n FROM s a JOIN s b ON a.dst = b.dst AND a.src < b.src GROUP BY 1")
+def triad_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two strains on one compound, by the sorted pair of relations. Counted from each compound's counts of relations, so the
+    pairs themselves are never made."""
+    c = _simple(spark, sf_dir).groupBy("dst", "rel").agg(F.count("*").alias("n"))
+    own = c.select(F.concat_ws("|", "rel", "rel").alias("kind"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"))
+    o = c.select("dst", F.col("rel").alias("r2"), F.col("n").alias("n2"))
+    mixed = c.join(o, "dst").filter("rel < r2").select(F.concat_ws("|", "rel", "r2").alias("kind"), (F.col("n") * F.col("n2")).alias("n"))
+    return own.unionByName(mixed).groupBy("kind").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+_SIGNED = f"""WITH {_E}, {_LAST}, t AS (SELECT a.src AS a, b.src AS b, least(a.rel, b.rel) AS x, greatest(a.rel, b.rel) AS y FROM s a JOIN s b ON a.dst = b.dst AND a.src < b.src),
+    g AS (SELECT a, b, CASE WHEN x = 'DEGRADES' AND y = 'DEGRADES' OR x = 'INHIBITS' AND y = 'PRODUCES' THEN -1 WHEN x = 'DEGRADES' AND y = 'PRODUCES' THEN 1 END AS sign FROM t),
+    p AS (SELECT a, b, CAST(sum(CASE WHEN sign > 0 THEN 1 ELSE 0 END) AS BIGINT) AS plus, CAST(sum(CASE WHEN sign < 0 THEN 1 ELSE 0 END) AS BIGINT) AS minus FROM g WHERE sign IS NOT NULL GROUP BY a, b)"""
+
+
+def _projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = G.sign(F.col("ra"), F.col("rb"))
+    t = G.triads(_simple(spark, sf_dir)).withColumn("sign", s).filter("sign is not null")
+    return t.groupBy("a", "b").agg(F.sum((F.col("sign") > 0).cast("long")).alias("plus"), F.sum((F.col("sign") < 0).cast("long")).alias("minus"))
+
+
+@query("signed_projection", f"{_SIGNED} SELECT * FROM p")
+def signed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of strains with their counts of positive and negative triads."""
+    return _projection(spark, sf_dir)
+
+
+@query("signed_degree", f"{_SIGNED}, v AS (SELECT a AS id, minus FROM p UNION ALL SELECT b, minus FROM p) SELECT id, CAST(sum(CASE WHEN minus > 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, CAST(sum(CASE WHEN minus > 0 THEN 0 ELSE 1 END) AS BIGINT) AS positive FROM v GROUP BY id")
+def signed_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degree by sign; a pair with both signs counts as negative."""
+    v = _projection(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("id"), (F.col("minus") > 0).cast("long").alias("m"))
+    return v.groupBy("id").agg(F.sum("m").alias("negative"), F.sum(1 - F.col("m")).alias("positive"))
+
+
+@query(
+    "node_types",
+    f"""
+    WITH {_E}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), s AS (SELECT DISTINCT src FROM e)
+    SELECT n.id, CASE WHEN s.src IS NOT NULL THEN 'STRAIN' ELSE 'COMPOUND' END AS type, upper(left(n.id, 1)) || lower(substr(n.id, 2)) AS display FROM n LEFT JOIN s ON n.id = s.src
+    """,
+)
+def node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertex table: both ends, type of the source role first, else of the target."""
+    e = _edges(spark, sf_dir)
+    ends = e.select(F.col("src").alias("id"), F.lit(0).alias("t")).unionByName(e.select(F.col("dst").alias("id"), F.lit(1).alias("t")))
+    n = ends.groupBy("id").agg(F.min("t").alias("t"))
+    return n.select("id", F.when(F.col("t") == 0, "STRAIN").otherwise("COMPOUND").alias("type"), capital(F.col("id")).alias("display"))
+
+
+@query("betweenness_topk")
+def betweenness_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vertices on most shortest paths of a degree-filtered subgraph; tested on fixtures."""
+    return G.betweenness(_bonds(spark, sf_dir)).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+
+
+@query("eigen_topk")
+def eigen_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most central vertices by power iteration; tested on fixtures."""
+    return G.eigenvector(_bonds(spark, sf_dir)).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+
+
+@query("community_modularity")
+def community_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modularity of communities by label propagation; the reference's heuristic is random, so there is no SQL."""
+    e = _bonds(spark, sf_dir)
+    return G.modularity(e, G.label_communities(e)).select(F.round("modularity", 9).alias("modularity"))
