@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -36,6 +37,7 @@ SCALE, LANES, BLOCK, STEPS = 20, 1024, 1 << 18, 64
 #: Ids of a segment at least, unless a partition ends; a longer document is not cut.
 SEGMENT = 1 << 21
 NULL_ID = -(1 << 63)
+LAYOUT = "part int, segment int, inside long, n_ids long, first_doc long, data binary"
 
 
 class Table(NamedTuple):
@@ -158,24 +160,35 @@ class Segment:
         return np.concatenate([self.block(i, t) for i in range(len(self.blocks))]) if self.blocks else np.empty(0, np.uint32)
 
 
+#: The printable stand-ins that byte-level vocabularies use for the 256 bytes (printable Latin-1 for itself, then U+0100 on).
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_STAND_INS = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, as little-endian u32 bytes.
+    """Ids of whole texts by the tokenizers library, as little-endian u16 bytes (u32 where the vocabulary needs them).
 
-    A boundary lies before each space or line end between two other characters, so words with the space before them are
-    encoded once and kept; `most` of them. Texts with other white space or with letters beyond the Latin blocks, on whose
-    classes two regex engines might differ, go to the library whole.
+    A boundary lies before each space or line end between two other characters, and between a word's letters and the
+    punctuation behind them, so words with the space before them are encoded once and kept. Texts with other white space or
+    with letters beyond the Latin blocks, on whose classes two regex engines might differ, go to the library whole.
     """
 
     plain = regex.compile(r"[^!-~ \n¡-ɏ‐-‧]")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 450_000):
         self.core = Tokenizer.from_file(path)
         self.core.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.code = "H" if self.core.get_vocab_size() <= 1 << 16 else "I"
+        self.shown = str.maketrans({chr(b): c for b, c in _STAND_INS.items()})
         self.most, self.first, self.later = most, _Known(self, ""), _Known(self, " ")
         self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.core.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array(self.code, self.core.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, text: str) -> bytes:
+        """Of one pre-token: the library's merges without its other steps."""
+        return array(self.code, [t.id for t in self.core.model.tokenize(text.encode().decode("latin-1").translate(self.shown))]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -190,14 +203,23 @@ class Encoder:
 
 
 class _Known(dict):
+    """word -> ids; two generations, so that frequent words stay when the younger one is full."""
+
     def __init__(self, encoder: Encoder, before: str):
         super().__init__()
-        self.encoder, self.before = encoder, before
+        self.encoder, self.before, self.older = encoder, before, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encoder.whole(self.before + word)
+        ids = self.older.get(word)
+        if ids is None:
+            base = word.rstrip(".,;:!?*&$%#|")
+            if base.isalpha():
+                ids = self.encoder.letters(self.before + word) if len(base) == len(word) else self[base] + self.encoder.first[word[len(base) :]]
+            else:
+                ids = self.encoder.whole(self.before + word)
         if len(word) <= 40:
             if len(self) >= self.encoder.most:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -217,10 +239,10 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        kind, end = _kind(enc.core.get_vocab_size()), np.array([end_id], "<u4").tobytes()
+        end = array(enc.code, [end_id]).tobytes()
         for b in batches:
-            ids = [np.frombuffer(enc(t.as_py()) + end, "<u4").astype(kind) for t in b.column("t")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n", "ids"])
+            ids = [enc(t.as_py()) + end for t in b.column("t")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, n long, ids binary")
 
@@ -247,19 +269,19 @@ def count(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 def write(tokens: DataFrame, f: np.ndarray, path: str) -> None:
-    """Segments in ascending doc_id order as rows (part, segment, n_ids, first_doc, data) of the Parquet folder path, the table beside."""
+    """Segments in ascending doc_id order as rows (part, segment, inside: ids of the part before it, n_ids, first_doc, data) of the Parquet folder path, the table beside."""
     spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast(f)  # one entry an id
     vocabulary = len(f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table_of(shared.value)
-        docs, parts, size, k = [], [], 0, 0
+        docs, parts, size, k, inside = [], [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), _kind(vocabulary)).astype(np.uint32)
             data = encode_segment([NULL_ID if d is None else d for d, _ in docs], [n for _, n in docs], ids, t)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([docs[0][0]], pa.int64()), pa.array([data], pa.binary())], ["part", "segment", "n_ids", "first_doc", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([inside], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([docs[0][0]], pa.int64()), pa.array([data], pa.binary())], ["part", "segment", "inside", "n_ids", "first_doc", "data"])
 
         for b in batches:
             for d, n, ids, part in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("ids"), b.column("part").to_pylist(), strict=True):
@@ -268,12 +290,12 @@ def write(tokens: DataFrame, f: np.ndarray, path: str) -> None:
                 size += n
                 if size >= SEGMENT:
                     yield segment()
-                    docs, parts, size, k = [], [], 0, k + 1
+                    docs, parts, size, k, inside = [], [], 0, k + 1, inside + size
         if docs:
             yield segment()
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(run, "part int, segment int, n_ids long, first_doc long, data binary").write.parquet(f"{path}/segments")
+    ordered.mapInArrow(run, LAYOUT).write.parquet(f"{path}/segments")
     spark.createDataFrame([(SCALE, f.astype("<u4").tobytes())], "scale int, frequencies binary").write.parquet(f"{path}/table")
 
 
@@ -283,15 +305,14 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     if head["scale"] != SCALE:
         raise ValueError("another scale")
     shared = spark.sparkContext.broadcast(np.frombuffer(head["frequencies"], "<u4"))
-    segments = spark.read.schema("part int, segment int, n_ids long, first_doc long, data binary").parquet(f"{path}/segments")
+    segments = spark.read.schema(LAYOUT).parquet(f"{path}/segments")
     sizes = segments.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min("first_doc").alias("d"), F.max(F.col("first_doc").isNull()).alias("null")).collect()  # a row for each written part
     begin, total = [], 0
     for r in sorted(sizes, key=lambda r: (not r["null"], r["d"] or 0)):
         begin.append((r["part"], total))
         total += r["n"]
     starts = spark.createDataFrame(begin, "part int, base long") if begin else spark.createDataFrame([], "part int, base long")
-    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = segments.select("part", "segment", "n_ids").withColumn("inside", inside).join(F.broadcast(starts), "part").select("part", "segment", (F.col("base") + F.col("inside")).alias("start"))
+    placed = segments.join(F.broadcast(starts), "part").select((F.col("base") + F.col("inside")).alias("start"), "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table_of(shared.value)
@@ -309,7 +330,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return segments.join(places, ["part", "segment"]).select("start", "data").mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:
