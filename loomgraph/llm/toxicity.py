@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.decontam import words
+from loomgraph.storage import materialise
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -41,7 +42,7 @@ class Settings(NamedTuple):
     epochs: int = 60
     rate: float = 0.05
     decay: float = 1e-4
-    least_lift: float = 2.0
+    least_lift: float = 3.8
     least_texts: int = 4
     least_share: float = 0.004
     seed: int = 7
@@ -121,7 +122,10 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, labelled: np.ndarray, prior:
     n1, n0 = toxic.sum(), (~toxic).sum()
     in_p = np.bincount(col[toxic[row]], minlength=1 << BITS)
     in_u = np.bincount(col[~toxic[row]], minlength=1 << BITS)
-    a, b = (in_p + 0.5) / (n1 + 1), (in_u + 0.5) / (n0 + 1)
+    # the share of hidden positives takes its part of a feature's unlabelled texts; the rest counts as negative
+    hidden = float(np.clip(prior, 0, 0.5)) * (~labelled).sum() / n0
+    a = (in_p + 0.5) / (n1 + 1)
+    b = (np.maximum(in_u - hidden * n0 * in_p / n1, 0) + 0.5) / ((1 - hidden) * n0 + 1)
     z = (np.log(a / b) - s.least_lift) * np.sqrt(in_p)
     z[(in_p < max(s.least_texts, s.least_share * n1)) | (z < 0)] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[: min(s.most_features, int((z > 0).sum()))])
@@ -161,14 +165,14 @@ def _curve(g: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
 
 
 class Scorer(dict):
-    """word -> sum of its features' weights; emptied when it has grown to a million words."""
+    """word -> sum of its features' weights; emptied when it has grown to 200,000 words."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         s = self[word] = sum(self.model.weights.get(f, 0.0) for f in features_of(word))
         return s
@@ -191,17 +195,18 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     lab = lab.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     n = lab.agg(F.avg("y").alias("prior"), F.sum("y").alias("pos")).first()
     prior = n["prior"] or 0.0
-    base = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).filter(F.col("id").isNotNull() & learn_rows(F.col("id")))
-    keyed = base.join(lab.withColumnRenamed("doc_id", "id"), "id", "left").withColumn("h", F.xxhash64("id", "t"))
-    cols = ["y", "t"]
-    p = keyed.filter("y = 1").orderBy("h").limit(s.most_positive).select(*cols)
-    u = keyed.filter("y is null or y = 0").orderBy("h").limit(s.most_unlabelled).select(*cols)
+    base = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).filter(F.col("id").isNotNull() & learn_rows(F.col("id"))).withColumn("h", F.xxhash64("id", "t"))
+    # only ids and hashes are shuffled; the sample, bounded by s, is then looked up in a second scan
+    keyed = base.select("id", "h").join(lab.withColumnRenamed("doc_id", "id"), "id", "left")
+    p = keyed.filter("y = 1").orderBy("h").limit(s.most_positive)
+    u = keyed.filter("y is null or y = 0").orderBy("h").limit(s.most_unlabelled)
+    sample = materialise(p.unionByName(u).dropDuplicates(["id", "h"]), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([features(t.as_py()).tobytes() for t in b.column("t")], pa.binary())], ["y", "f"])
 
-    got = p.unionByName(u).mapInArrow(run, "y int, f binary").toArrow()
+    got = base.join(F.broadcast(sample), ["id", "h"]).dropDuplicates(["id", "h"]).select("y", "t").mapInArrow(run, "y int, f binary").toArrow()
     y = np.array([-1 if v is None else v for v in got.column("y").to_pylist()])
     return fit([np.frombuffer(f, np.uint32) for f in got.column("f").to_pylist()], y == 1, y >= 0, prior, s)
 
