@@ -6,6 +6,9 @@ ones last, two sets with Jaccard similarity of at least t share at least l membe
 members it weighs the postings to be read against the candidates that remain when l shared members are asked for. A pair
 is verified only if its prefixes share min(l_x, l_y) members or more.
 
+Candidates are first held against each other as bitmaps: a set bit that the other lacks is a shingle that it lacks, which
+bounds the intersection from above, so nothing similar is lost. The rest is verified on the whole sets.
+
 Equal sets are one node from the start. Links are needed up to reachability, so pairs inside a component that is already
 known are not looked at: rounds of stars first verify each node with one leader among the nodes that share most of its
 postings (as many pairs as nodes); what then still lies in different components is joined and verified exhaustively. No
@@ -34,9 +37,11 @@ from loomgraph.llm.common import WordHashes, lower_words
 from loomgraph.operators.components import connected_components
 from loomgraph.storage import materialise
 
-LOCAL, HEAVY = 8, 100_000
+LOCAL, HEAVY = 2, 400_000
 #: The largest l, and star rounds before the exhaustive one.
 MOST_MATCHES, STARS = 8, 2
+#: Sets of a block of a shingle's postings.
+BLOCK = 2_000
 #: Tables of ids up to this number of rows (16 bytes each) are broadcast, larger ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -91,19 +96,46 @@ def prefix(s: np.ndarray, heavy: np.ndarray, df: np.ndarray, settings: Settings)
     return best + 1, s[order[: base + best + 1]]
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit for each hash, in a power of two of at least four bits a shingle; halves can be laid over each other."""
+    size = 1 << max(8, (4 * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[((s >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def possible(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bool:
+    """Whether sets of these sizes and bitmaps can be similar."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    both = min(nx - int(np.bitwise_count(x & ~y).sum()), ny - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * both >= percent * (nx + ny - both)
+
+
 def heavy_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, with lower estimates of their document frequencies: HEAVY at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            texts = {t.as_py() for t in b.column("t")}
-            sets = [shingles(t, known, settings.words) for t in texts]
-            h, k = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+            seen, sets = set(), [np.empty(0, np.uint64)]
+            for th, t in zip(b.column("th").to_pylist(), b.column("t"), strict=True):
+                if th not in seen:
+                    seen.add(th)
+                    sets.append(shingles(t.as_py(), known, settings.words))
+            all_ = np.concatenate(sets)
+            del sets
+            all_.sort()
+            edge = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])) if len(all_) else np.empty(0, np.int64)
+            k = np.diff(np.append(edge, len(all_)))
             on = k >= LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64), pa.int64()), pa.array(k[on].astype(np.int64), pa.int64())], ["h", "k"])
+            h, k = all_[edge[on]], k[on]
+            del all_, edge
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), pa.array(k.astype(np.int64), pa.int64())], ["h", "k"])
 
-    sums = docs.select("t").mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
+    sums = docs.select("th", "t").mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
     top = sums.orderBy(F.desc("k"), "h").limit(HEAVY).toArrow()
     h, k = top.column("h").to_numpy().view(np.uint64), top.column("k").to_numpy().astype(float)
     o = np.argsort(h)
@@ -111,13 +143,13 @@ def heavy_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.
 
 
 def sets_of(docs: DataFrame, settings: Settings) -> DataFrame:
-    """id, th (the text's hash), s (the set's id), n, l, prefix; the prefix of a set that repeats in a batch is given once."""
+    """id, th (the text's hash), s (the set's id), n, l, prefix, bits; l, prefix and bits of a set that repeats in a batch are given once."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (heavy, df) = WordHashes(), shared.value
         for b in batches:
-            seen, ids, n, l, pre = set(), [], [], [], []
+            seen, ids, n, l, pre, bits = set(), [], [], [], [], []
             for t in b.column("t"):
                 x = shingles(t.as_py(), known, settings.words)
                 i = set_id(x) if len(x) else None
@@ -128,9 +160,10 @@ def sets_of(docs: DataFrame, settings: Settings) -> DataFrame:
                 n.append(len(x))
                 l.append(m)
                 pre.append(None if p is None else p.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(l, pa.int32()), pa.array(pre, pa.list_(pa.int64()))], ["id", "th", "s", "n", "l", "prefix"])
+                bits.append(bitmap(x).tobytes() if first else None)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(l, pa.int32()), pa.array(pre, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "th", "s", "n", "l", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "id long, th long, s long, n long, l int, prefix array<long>")
+    return docs.mapInArrow(run, "id long, th long, s long, n long, l int, prefix array<long>, bits binary")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +199,29 @@ def _verify(settings: Settings):
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Those of the candidate pairs (a, b) that are similar."""
-    withb = pairs.join(sets.select(F.col("s").alias("b"), F.col("set").alias("sb")), "b")
+def _screen(settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [[np.frombuffer(v.as_buffer(), np.uint8) for v in b.column(c)] for c in ("xa", "xb")]
+            on = [possible(x, n, y, m, settings.percent) for x, n, y, m in zip(bits[0], b.column("na").to_pylist(), bits[1], b.column("nb").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    return run
+
+
+def _screened(pairs: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
+    """Those of the candidate pairs (a, b) that their bitmaps allow."""
+    side = lambda c: some.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    near = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "xa", "xb")
+    return near.mapInArrow(_screen(settings), "a long, b long")
+
+
+def _links(near: DataFrame, base: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
+    """Those of the screened pairs (a, b) that are similar: both whole sets are computed again and compared."""
+    near = materialise(near, "screened")
+    asked = near.select(F.col("a").alias("s")).unionByName(near.select(F.col("b").alias("s"))).distinct()
+    sets = materialise(_full_sets(base, some.join(asked, "s", "left_semi").select("s", "id", "th"), settings), "full")
+    withb = near.join(sets.select(F.col("s").alias("b"), F.col("set").alias("sb")), "b")
     return withb.join(sets.select(F.col("s").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(_verify(settings), "a long, b long")
 
 
@@ -183,24 +236,27 @@ def components(docs: DataFrame, settings: Settings = Settings(), id_col: str = "
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 2_000_000)
     postings = part.filter("prefix is not null").select("s", F.explode("prefix").alias("token")).repartition(width, "token")
     shared = materialise(postings.mapInArrow(_shared, "token long, s long"), "postings")
-    some = shared.select("s").distinct().join(nodes, "s").select("s", "n", "l", F.col("r.id").alias("id"), F.col("r.th").alias("th"))
+    asked = shared.select("s").distinct()
+    bits = part.filter("prefix is not null").select("s", "bits").join(asked, "s", "left_semi").dropDuplicates(["s"])
+    some = nodes.join(bits, "s").select("s", "n", "l", F.col("r.id").alias("id"), F.col("r.th").alias("th"), "bits")
     some = materialise(some, "nodes")
-    full = materialise(_full_sets(base, some, settings), "full")
     posts = materialise(shared.join(some.select("s", "n", "l"), "s"), "postings")
 
-    links, known = None, None
-    for r in range(STARS):
-        found = _links(_stars(posts, known, r, settings), full, settings)
-        links, known = _grown(links, found)
-    found = _links(_crossing(posts, known, settings), full, settings)
-    links, known = _grown(links, found)
+    stars = _stars(posts, 0, settings)
+    for r in range(1, STARS):
+        stars = stars.unionByName(_stars(posts, r, settings))
+    links = materialise(_links(_screened(stars.distinct(), some, settings), base, some, settings), "links")
+    known = connected_components(links, "a", "b")
+    more = materialise(_links(_crossing(posts, known, some, settings), base, some, settings), "links")
+    if more.limit(1).count():
+        known = connected_components(links.unionByName(more), "a", "b")
     return _labelled(sets, known)
 
 
 def _full_sets(base: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
     """s, set of the nodes that share a posting, computed again from one text each."""
-    reps = some.select("s", "id", "th")
-    if some.count() <= BROADCAST_ROWS:
+    reps = materialise(some, "asked")
+    if reps.count() <= BROADCAST_ROWS:
         reps = F.broadcast(reps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,37 +271,93 @@ def _sized(settings: Settings):
     return 100 * F.least("n", "n2") >= settings.percent * F.greatest("n", "n2")
 
 
-def _with_labels(posts: DataFrame, known: DataFrame | None) -> DataFrame:
+def _with_labels(posts: DataFrame, known: DataFrame) -> DataFrame:
     """Postings with their node's component; those of shingles whose nodes are all in one component are dropped."""
-    if known is None:
-        return posts.withColumn("c", F.col("s"))
     lab = posts.join(known.withColumnRenamed("id", "s"), "s", "left").select(*posts.columns, F.coalesce("component", "s").alias("c"))
     open_ = lab.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("token")
     return lab.join(open_, "token")
 
 
-def _stars(posts: DataFrame, known: DataFrame | None, r: int, settings: Settings) -> DataFrame:
-    """A pair for each node at most: with the leader, of another component, that shares most postings with it."""
-    p = _with_labels(posts, known)
-    key = F.struct(F.xxhash64("s", F.lit(r)).alias("k"), F.col("s").alias("s"), F.col("n").alias("n"), F.col("l").alias("l"), F.col("c").alias("c"))
-    lead = p.groupBy("token").agg(F.min(key).alias("a"))
-    near = p.join(lead, "token").filter("a.c <> c").withColumn("n2", F.col("a.n")).filter(_sized(settings))
+def _stars(posts: DataFrame, r: int, settings: Settings) -> DataFrame:
+    """A pair for each node at most: with the leader that shares most postings with it."""
+    key = F.struct(F.xxhash64("s", F.lit(r)).alias("k"), F.col("s").alias("s"), F.col("n").alias("n"), F.col("l").alias("l"))
+    lead = posts.groupBy("token").agg(F.min(key).alias("a"))
+    near = posts.join(lead, "token").filter("a.s <> s").withColumn("n2", F.col("a.n")).filter(_sized(settings))
     counted = near.groupBy("s", F.col("a.s").alias("a")).agg(F.count("*").alias("k"), F.min(F.least("l", "a.l")).alias("need")).filter("k >= need")
     return counted.groupBy("s").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", F.col("s").alias("b"))
 
 
-def _crossing(posts: DataFrame, known: DataFrame | None, settings: Settings) -> DataFrame:
-    """All pairs of different components whose prefixes share enough."""
+def _crossing(posts: DataFrame, known: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
+    """All pairs of different components whose prefixes share enough and whose bitmaps allow it.
+
+    Pairs are looked at inside the postings of a shingle, by size and bitmap, and only those that pass are given out. The
+    postings of a shingle that many sets have are cut into blocks of BLOCK; a task holds two blocks at most.
+    """
     p = materialise(_with_labels(posts, known), "open")
-    q = p.select("token", F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("l").alias("l2"), F.col("c").alias("c2"))
-    near = p.join(q, "token").filter("s < s2 and c <> c2").filter(_sized(settings))
-    return near.groupBy(F.col("s").alias("a"), F.col("s2").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("l", "l2")).alias("need")).filter("k >= need").select("a", "b")
+    k = p.groupBy("token").agg(F.count("*").alias("k"))
+    q = p.join(k, "token").withColumn("cuts", F.ceil(F.col("k") / BLOCK).cast("int"))
+    q = q.withColumn("own", F.pmod(F.xxhash64("s"), F.col("cuts")).cast("int"))
+    r = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", "n", "l", "c")
+    r = r.join(some.select("s", "bits"), "s").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "s")
+    near = r.select("token", "i", "j", "own", "s", "n", "l", "c", "bits").mapInArrow(_within(settings), "a long, b long, need int")
+    return near.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("need").alias("need")).filter("k >= need").select("a", "b")
 
 
-def _grown(links: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    found = materialise(found, "links")
-    links = found if links is None else links.unionByName(found)
-    return links, connected_components(links, "a", "b")
+def _within(settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            keys = np.stack([t.column(c).to_numpy() for c in ("token", "i", "j")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            if len(cuts):
+                yield from _pairs_of(t.slice(0, int(cuts[-1])), np.append(0, cuts), settings)
+                rest = t.slice(int(cuts[-1]))
+            else:
+                rest = t
+        if rest is not None:
+            yield from _pairs_of(rest, np.array([0, rest.num_rows]), settings)
+
+    return run
+
+
+def _pairs_of(t: pa.Table, cuts: np.ndarray, settings: Settings) -> Iterator[pa.RecordBatch]:
+    cols = {c: t.column(c).to_numpy() for c in ("i", "j", "own", "s", "n", "l", "c")}
+    bits = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("bits")]
+    a, b, need = [], [], []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        x = {c: v[lo:hi] for c, v in cols.items()}
+        for i, j in _similar_in(x, bits[lo:hi], settings):
+            a.append(np.minimum(x["s"][i], x["s"][j]))
+            b.append(np.maximum(x["s"][i], x["s"][j]))
+            need.append(np.minimum(x["l"][i], x["l"][j]))
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(need), pa.int32())], ["a", "b", "need"])
+
+
+def _similar_in(x: dict[str, np.ndarray], bits: list[np.ndarray], settings: Settings) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places behind it) of pairs in one group, sorted by size, that sizes, components and bitmaps allow."""
+    n, c, own = x["n"].astype(np.int64), x["c"], x["own"]
+    if (c == c[0]).all():
+        return
+    width = np.array([len(v) for v in bits])
+    folded: dict[int, np.ndarray] = {}
+    ends = np.searchsorted(n, n * 100 // settings.percent, "right")
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, ends[i])
+        j = j[(c[j] != c[i]) & (own[j] != own[i] if x["i"][0] != x["j"][0] else True)]
+        if not len(j):
+            continue
+        w = int(width[i])
+        if w not in folded:  # sizes of similar sets differ by a quarter, so widths by one halving at most
+            m = folded[w] = np.zeros((len(n), w), np.uint64)
+            for k in np.flatnonzero((width == w) | (width == 2 * w)):
+                m[k] = bits[k] if width[k] == w else bits[k][:w] | bits[k][w:]
+        y, z = folded[w][i], folded[w][j]
+        both = np.minimum(n[i] - np.bitwise_count(y & ~z).sum(1, dtype=np.int64), n[j] - np.bitwise_count(z & ~y).sum(1, dtype=np.int64))
+        j = j[100 * both >= settings.percent * (n[i] + n[j] - both)]
+        if len(j):
+            yield i, j
 
 
 def _labelled(sets: DataFrame, known: DataFrame) -> DataFrame:
