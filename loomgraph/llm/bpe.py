@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -110,6 +111,12 @@ def codec(path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -
     return _codecs[key]
 
 
+def _parts(b: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in small parts, so that a task holds few texts' ids."""
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """docs, with text_col replaced by its ids (array<int>) under out_col."""
     keep = [c for c in docs.columns if c not in (text_col, out_col)]
@@ -117,8 +124,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            ids = pa.array([c.encode(t) for t in b.column(text_col).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], ids], [*keep, out_col])
+            for part in _parts(b):
+                ids = pa.array([np.array(c.encode(t.as_py()), np.int32) for t in part.column(text_col)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], ids], [*keep, out_col])
 
     schema = docs.select(*keep).schema.add(out_col, T.ArrayType(T.IntegerType()))
     return docs.select(*keep, text_col).mapInArrow(run, schema)
@@ -131,8 +139,9 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", ou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            raw = pa.array([None if i is None else c.decode(i) for i in b.column(ids_col).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], raw], [*keep, out_col])
+            for part in _parts(b):
+                raw = pa.array([c.decode(i.values.to_pylist()) if i.is_valid else None for i in part.column(ids_col)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], raw], [*keep, out_col])
 
     schema = encoded.select(*keep).schema.add(out_col, T.BinaryType())
     return encoded.select(*keep, ids_col).mapInArrow(run, schema)

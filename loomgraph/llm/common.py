@@ -21,7 +21,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, computed at the first look-up; emptied when it has grown to `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
