@@ -40,6 +40,8 @@ from loomgraph.storage import materialise
 LOCAL, HEAVY = 2, 400_000
 #: The largest l, and star rounds before the exhaustive one.
 MOST_MATCHES, STARS = 8, 2
+#: Shingles in which a task counts repeats at once, and rows of a batch sent to Python (whole sets are large).
+CHUNK, BATCH_ROWS = 4_000_000, 1_000
 #: Sets of a block of a shingle's postings.
 BLOCK = 2_000
 #: Tables of ids up to this number of rows (16 bytes each) are broadcast, larger ones are joined by shuffling.
@@ -114,26 +116,32 @@ def possible(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bo
     return 100 * both >= percent * (nx + ny - both)
 
 
+def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Shingles of LOCAL sets or more; the list is emptied."""
+    all_ = np.concatenate([np.empty(0, np.uint64), *sets])
+    sets.clear()
+    all_.sort()
+    edge = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])) if len(all_) else np.empty(0, np.int64)
+    k = np.diff(np.append(edge, len(all_)))
+    h, k = all_[edge[k >= LOCAL]], k[k >= LOCAL]
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), pa.array(k.astype(np.int64), pa.int64())], ["h", "k"])
+
+
 def heavy_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, with lower estimates of their document frequencies: HEAVY at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, seen, sets, size = WordHashes(), set(), [], 0
         for b in batches:
-            seen, sets = set(), [np.empty(0, np.uint64)]
             for th, t in zip(b.column("th").to_pylist(), b.column("t"), strict=True):
                 if th not in seen:
                     seen.add(th)
                     sets.append(shingles(t.as_py(), known, settings.words))
-            all_ = np.concatenate(sets)
-            del sets
-            all_.sort()
-            edge = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])) if len(all_) else np.empty(0, np.int64)
-            k = np.diff(np.append(edge, len(all_)))
-            on = k >= LOCAL
-            h, k = all_[edge[on]], k[on]
-            del all_, edge
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), pa.array(k.astype(np.int64), pa.int64())], ["h", "k"])
+                    size += len(sets[-1])
+            if size >= CHUNK:
+                yield _counted(sets)
+                seen, sets, size = set(), [], 0
+        yield _counted(sets)
 
     sums = docs.select("th", "t").mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
     top = sums.orderBy(F.desc("k"), "h").limit(HEAVY).toArrow()
@@ -143,13 +151,13 @@ def heavy_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.
 
 
 def sets_of(docs: DataFrame, settings: Settings) -> DataFrame:
-    """id, th (the text's hash), s (the set's id), n, l, prefix, bits; l, prefix and bits of a set that repeats in a batch are given once."""
+    """id, th (the text's hash), s (the set's id), n, l, prefix, bits; l, prefix and bits of a set that repeats in a task are given once."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (heavy, df) = WordHashes(), shared.value
+        known, (heavy, df), seen = WordHashes(), shared.value, set()
         for b in batches:
-            seen, ids, n, l, pre, bits = set(), [], [], [], [], []
+            ids, n, l, pre, bits = [], [], [], [], []
             for t in b.column("t"):
                 x = shingles(t.as_py(), known, settings.words)
                 i = set_id(x) if len(x) else None
@@ -227,6 +235,17 @@ def _links(near: DataFrame, base: DataFrame, some: DataFrame, settings: Settings
 
 def components(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (xxhash64 of the text), n_shingles, component_id for every row."""
+    spark = docs.sparkSession
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:  # all that runs Python is done when this returns
+        return _components(docs, settings, id_col, text_col)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _components(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     sets = materialise(sets_of(base, settings), "sets")
