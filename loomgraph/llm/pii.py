@@ -3,7 +3,10 @@ r"""Personal data by patterns and by information-theoretic sanitisation, in Data
 Base spans are the matches of four patterns. Every base value is a protected entity e. A term t, a word that stands near e
 (within `reach` characters), is judged by corpus counts over distinct texts: n(e), n(t), and n(e, t), the texts where t
 stands near e. With PMI(e; t) = log2(N n(e, t) / (n(e) n(t))) and IC(e) = log2(N / n(e)), t discloses e when
-PMI >= alpha IC(e) and n(e, t) >= support. In texts that contain e such a t is a further span: removed when it never occurs
+PMI >= alpha IC(e), unless independent e and t would share n(e, t) texts by chance: n ln(n / x) - n + x >= -ln(chance), with
+n = n(e, t) and x = n(e) n(t) / N (Chernoff's bound; half of Dunning's G^2). So entities and terms of a single text are judged
+too. At alpha 0.8 the bound decides only for entities that more than one of about 1,100 texts hold (in fewer texts: all); there
+it keeps a single common text from being taken for evidence. In texts that contain e such a t is a further span: removed when it never occurs
 without e near it, generalised to a class otherwise.
 
 All counts cover all texts; equal texts count once. Pairs are counted with partial sums, so an entity or a term that many
@@ -16,6 +19,7 @@ ones; repeated rows and null ids are judged each; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +44,8 @@ _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 
 class Settings(NamedTuple):
     alpha: float = 0.8
-    support: int = 3
+    support: int = 1
+    chance: float = 0.01
     reach: int = 40
     #: Terms up to this number are looked up by a broadcast table (at most some 64 bytes each), more by a shuffled join.
     broadcast_terms: int = 200_000
@@ -129,6 +134,11 @@ def _near(text: Column, span: Column, reach: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", before, after)), F.lit(_WORD), F.lit(0)))
 
 
+def _no_chance(n_e: Column, n_t: Column, n_et: Column, n: int, s: Settings) -> Column:
+    x = n_e * n_t / F.lit(float(max(n, 1)))
+    return n_et * F.ln(n_et / x) - n_et + x >= -math.log(s.chance)
+
+
 def disclosing(docs: DataFrame, spanned: DataFrame, s: Settings = Settings()) -> DataFrame:
     """e, t, level (2: removed, 1: generalised). docs: every row (text); spanned: those with base spans (text, _base)."""
     h = F.xxhash64("text")
@@ -146,7 +156,7 @@ def disclosing(docs: DataFrame, spanned: DataFrame, s: Settings = Settings()) ->
     ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
     pmi = F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     level = F.when(F.col("n_et") >= F.col("n_t"), 2).otherwise(1)
-    return pair.join(n_t, "t").filter((ic > 0) & (pmi >= s.alpha * ic)).select("e", "t", level.alias("level"))
+    return pair.join(n_t, "t").filter((ic > 0) & (pmi >= s.alpha * ic) & _no_chance(F.col("n_e"), F.col("n_t"), F.col("n_et"), n, s)).select("e", "t", level.alias("level"))
 
 
 def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

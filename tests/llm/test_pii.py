@@ -63,6 +63,17 @@ def test_terms_that_disclose(told):
     assert pii.find(told.limit(0)).count() == 0
 
 
+def test_entities_of_one_text(spark):
+    """With the production parameters."""
+    rows = [(i, f"The text of this row tells nothing much, row {i}") for i in range(1500)]
+    rows += [(2000, "Ask Quexley of this row at q.x@host.org"), (2001, "The text by Zorro Smith: +1 (523) 555-1055"), (2002, "Smith tells nothing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert "Quexley" not in out[2000] and "of this row" in out[2000] and "[EMAIL]" in out[2000]
+    assert "Zorro" not in out[2001] and "[TERM]" in out[2001] and "Smith" not in out[2001] and out[2001].startswith("The text")
+    assert all(out[i] == t for i, t in rows if i not in (2000, 2001))
+
+
 def test_no_python_in_the_plan(told):
     plan = pii.find(told)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
