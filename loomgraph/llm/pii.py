@@ -1,13 +1,13 @@
 r"""Personal data by patterns and by information-theoretic sanitisation, in DataFrame functions only.
 
-Base spans are the matches of four patterns. Every base value is a protected entity e. A term t, a word that stands near e
-(within `reach` characters), is judged by corpus counts over distinct texts: n(e), n(t), and n(e, t), the texts where t
-stands near e. With PMI(e; t) = log2(N n(e, t) / (n(e) n(t))) and IC(e) = log2(N / n(e)), t discloses e when
+Base spans are the matches of four patterns. Every base value is a protected entity e. A term t, a word anywhere in a text
+with e but not in or against a base span, is judged by corpus counts over distinct texts: n(e), n(t), and n(e, t), the texts
+that hold both. With PMI(e; t) = log2(N n(e, t) / (n(e) n(t))) and IC(e) = log2(N / n(e)), t discloses e when
 PMI >= alpha IC(e), unless independent e and t would share n(e, t) texts by chance: n ln(n / x) - n + x >= -ln(chance), with
 n = n(e, t) and x = n(e) n(t) / N (Chernoff's bound; half of Dunning's G^2). So entities and terms of a single text are judged
 too. At alpha 0.8 the bound decides only for entities that more than one of about 1,100 texts hold (in fewer texts: all); there
 it keeps a single common text from being taken for evidence. In texts that contain e such a t is a further span: removed when it never occurs
-without e near it, generalised to a class otherwise.
+without e, generalised to a class otherwise.
 
 All counts cover all texts; equal texts count once. Pairs are counted with partial sums, so an entity or a term that many
 texts hold is no hot key. Offsets are code points, the end exclusive.
@@ -46,9 +46,9 @@ class Settings(NamedTuple):
     alpha: float = 0.8
     support: int = 1
     chance: float = 0.01
-    reach: int = 40
-    #: Terms up to this number are looked up by a broadcast table (at most some 64 bytes each), more by a shuffled join.
+    #: Terms and hashes of texts up to these numbers are looked up by a broadcast table (at most some 64 and 32 bytes each), more by a shuffled join.
     broadcast_terms: int = 200_000
+    broadcast_texts: int = 500_000
 
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -124,14 +124,14 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), plain)
 
 
-def _near(text: Column, span: Column, reach: int) -> Column:
-    """Distinct lower-cased words within reach characters of a span; words cut by the window's edge or joined to the span are left out."""
-    left = F.greatest(span["start"] - reach, F.lit(0))
-    before = F.substring(text, left + 1, span["start"] - left)
-    after = F.substring(text, span["end"] + 1, F.lit(reach))
-    before = F.regexp_replace(F.when(left > 0, F.regexp_replace(before, rf"^{_WORD}", "")).otherwise(before), rf"{_WORD}$", "")
-    after = F.regexp_replace(F.when(F.char_length(after) == reach, F.regexp_replace(after, rf"{_WORD}$", "")).otherwise(after), rf"^{_WORD}", "")
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", before, after)), F.lit(_WORD), F.lit(0)))
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """Distinct lower-cased words of the text that no span overlaps or touches."""
+    bare = _replaced(F.translate(text, "\0", " "), spans, lambda m: F.lit("\0"))
+    return _words(F.regexp_replace(bare, r"[\p{L}\p{N}]*+\x00[\p{L}\p{N}\x00]*+", " "))
 
 
 def _no_chance(n_e: Column, n_t: Column, n_et: Column, n: int, s: Settings) -> Column:
@@ -139,24 +139,55 @@ def _no_chance(n_e: Column, n_t: Column, n_et: Column, n: int, s: Settings) -> C
     return n_et * F.ln(n_et / x) - n_et + x >= -math.log(s.chance)
 
 
+def _counts(docs: DataFrame, s: Settings) -> tuple[DataFrame, int]:
+    """t, n_t: words with the number of distinct texts that hold them; and the number of distinct texts.
+
+    Only the hashes of all texts are shuffled, and words after they are counted; the words of texts that repeat, once each.
+    """
+    texts = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), "text")
+    sizes = materialise(texts.groupBy("h").agg(F.count("*").alias("k")).groupBy((F.col("k") > 1).alias("twice"), F.when(F.col("k") > 1, F.col("h")).alias("h")).agg(F.count("*").alias("k")), "texts")
+    n = sizes.agg(F.sum("k")).first()[0] or 0
+    twice = sizes.filter("twice").select("h", "twice")
+    if twice.count() <= s.broadcast_texts:
+        twice = F.broadcast(twice)
+    marked = texts.join(twice, "h", "left").select("h", "twice", F.explode(_words(F.col("text"))).alias("t"))
+    once = marked.filter("twice is null").groupBy("t").agg(F.count("*").alias("n_t"))
+    more = marked.filter("twice").select("h", "t").distinct().groupBy("t").agg(F.count("*").alias("n_t"))
+    return once.unionByName(more).groupBy("t").agg(F.sum("n_t").alias("n_t")), n
+
+
 def disclosing(docs: DataFrame, spanned: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """e, t, level (2: removed, 1: generalised). docs: every row (text); spanned: those with base spans (text, _base)."""
-    h = F.xxhash64("text")
-    pairs = spanned.select(h.alias("h"), "text", F.explode("_base").alias("b")).select("h", entity(F.col("b")).alias("e"), _near(F.col("text"), F.col("b"), s.reach).alias("ts")).filter("h is not null")
-    pairs = materialise(pairs, "near")
-    n_e = pairs.select("h", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    n_et = pairs.select("h", "e", F.explode("ts").alias("t")).distinct().groupBy("e", "t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= s.support)
-    pair = materialise(n_et.join(n_e, "e"), "pairs")
-    terms = pair.select("t").distinct()
-    texts = docs.filter("text is not null")
-    words = texts.select(h.alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("t"))
-    few = terms.count() <= s.broadcast_terms
-    n_t = words.join(F.broadcast(terms) if few else terms, "t", "left_semi").distinct().groupBy("t").agg(F.count("*").alias("n_t"))
-    n = texts.select(h.alias("h")).distinct().count()
-    ic = F.log2(F.lit(float(max(n, 1))) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(max(n, 1))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    level = F.when(F.col("n_et") >= F.col("n_t"), 2).otherwise(1)
-    return pair.join(n_t, "t").filter((ic > 0) & (pmi >= s.alpha * ic) & _no_chance(F.col("n_e"), F.col("n_t"), F.col("n_et"), n, s)).select("e", "t", level.alias("level"))
+    """h (a text's hash), t, level (2: removed, 1: generalised). docs: every row (text); spanned: those with base spans (text, _base).
+
+    Entities that stand in the same texts are one class, so a text has at most one class of entities that no other text has.
+    As n(e, t) <= n(e), t can disclose e only if n(t) <= N (n(e) / N) ** alpha: other pairs are not made.
+    """
+    once = spanned.withColumn("h", F.xxhash64("text")).dropDuplicates(["h"])
+    he = materialise(once.select("h", F.explode(F.array_distinct(F.transform("_base", entity))).alias("e")), "entities")
+    # texts that hold e, known by two sums of their hashes
+    of = he.groupBy("e").agg(F.count("*").alias("n_e"), F.bit_xor("h").alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "h")).alias("x2"))
+    classes = materialise(he.join(of, "e").select("h", "n_e", "x1", "x2").distinct(), "classes")
+    counts, n = _counts(docs, s)
+    total = F.lit(float(max(n, 1)))
+    bound = lambda n_e: total * F.pow(n_e / total, F.lit(s.alpha)) * (1 + 1e-9)
+    most = classes.agg(F.max("n_e")).first()[0] or 1
+    words = once.select("h", F.explode(_outside(F.col("text"), F.col("_base"))).alias("t"))
+    rare = words.join(counts.filter(F.col("n_t") <= bound(F.lit(float(most)))), "t")
+    pairs = materialise(rare.join(classes, "h").filter(F.col("n_t") <= bound(F.col("n_e"))), "pairs")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        ic = F.log2(total / F.col("n_e"))
+        pmi = F.log2(total * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+        fit = (F.col("n_et") >= s.support) & (ic > 0) & (pmi >= s.alpha * ic * (1 - 1e-12)) & _no_chance(F.col("n_e"), F.col("n_t"), F.col("n_et"), n, s)
+        return pairs.filter(fit).withColumn("level", F.when(F.col("n_et") >= F.col("n_t"), 2).otherwise(1))
+
+    own = judged(pairs.filter("n_e = 1").withColumn("n_et", F.lit(1))).select("h", "t", "level")
+    key = ["n_e", "x1", "x2", "t"]
+    wide = pairs.filter("n_e > 1")
+    bad = materialise(judged(wide.groupBy(*key).agg(F.first("n_t").alias("n_t"), F.count("*").alias("n_et"))).select(*key, "level"), "terms")
+    if bad.count() <= s.broadcast_terms:
+        bad = F.broadcast(bad)
+    return own.unionByName(wide.join(bad, key).select("h", "t", "level")).groupBy("h", "t").agg(F.max("level").alias("level"))
 
 
 def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -167,11 +198,10 @@ def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     some = materialise(marked.filter(F.size("_base") > 0), "spanned")
     none = F.array().cast(SPAN)
     rest = docs.filter(F.size(base_spans(F.col("text"))) == 0).withColumns({"_base": none, "_spans": none})
-    bad = materialise(disclosing(docs, some, s), "disclosing")
     # a text's terms, by its hash: equal texts share them
+    bad = materialise(disclosing(docs, some, s), "disclosing")
     keyed = some.withColumn("_h", F.xxhash64("text"))
-    own = keyed.select("_h", F.explode(F.transform("_base", entity)).alias("e")).distinct().join(bad, "e")
-    mine = own.groupBy("_h", "t").agg(F.max("level").alias("level")).groupBy("_h").agg(F.collect_list(F.struct("t", "level")).alias("_terms"))
+    mine = bad.groupBy(F.col("h").alias("_h")).agg(F.collect_list(F.struct("t", "level")).alias("_terms"))
     joined = keyed.join(mine, "_h", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("_terms", lambda x: x["t"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     levels = F.map_from_entries("_terms")
@@ -194,19 +224,23 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(_text_of(F.col("_base")), 256).alias("base_sha256"), _text_of(F.col("_spans")).alias("spans"))
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with a placeholder for each run of overlapping spans; terms of level 2 go."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """The text with mark(span) for each run of overlapping spans."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, m: Column) -> Column:
-        mark = F.when((m["kind"] == 4) & (m["value"] == "2"), "").otherwise(F.element_at(names, m["kind"] + 1))
-        piece = F.concat(F.substring(text, a["at"] + 1, m["start"] - a["at"]), mark)
+        piece = F.concat(F.substring(text, a["at"] + 1, m["start"] - a["at"]), mark(m))
         new = F.when(m["start"] >= a["at"], F.concat(a["out"], F.array(piece))).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], m["end"]).alias("at"), new.alias("out"))
 
-    whole = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+
+
+def sanitised(text: Column, spans: Column) -> Column:
+    """The text with a placeholder for each run of overlapping spans; terms of level 2 go."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    mark = lambda m: F.when((m["kind"] == 4) & (m["value"] == "2"), "").otherwise(F.element_at(names, m["kind"] + 1))
+    return F.when(F.size(spans) > 0, _replaced(text, spans, mark)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

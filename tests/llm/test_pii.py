@@ -74,6 +74,18 @@ def test_entities_of_one_text(spark):
     assert all(out[i] == t for i, t in rows if i not in (2000, 2001))
 
 
+def test_terms_far_from_their_entity(spark):
+    far = "The text of this row tells nothing much. " * 5
+    rows = [(i, f"The text of this row tells nothing much, row {i}") for i in range(1500)]
+    rows += [(2000 + i, f"Zorro wrote. {far}Call +1 (523) 555-1055, row {i}") for i in range(4)]
+    rows += [(2010, rows[1500][1]), (3000, f"q.x@host.org\n{far}Yours, Quexley"), (3001, "Somebody wrote of zorro")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all(out[2000 + i].startswith("[TERM] ") and "555" not in out[2000 + i] for i in range(4)) and out[2010] == out[2000]
+    assert out[3000].startswith("[EMAIL]\nThe text of this row") and "Quexley" not in out[3000]
+    assert out[3001] == "Somebody wrote of zorro" and out[7] == rows[7][1]
+
+
 def test_no_python_in_the_plan(told):
     plan = pii.find(told)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
