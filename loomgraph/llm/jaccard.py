@@ -9,10 +9,12 @@ is verified only if its prefixes share min(l_x, l_y) members or more.
 Candidates are first held against each other as bitmaps: a set bit that the other lacks is a shingle that it lacks, which
 bounds the intersection from above, so nothing similar is lost. The rest is verified on the whole sets.
 
-Equal sets are one node from the start. Links are needed up to reachability, so pairs inside a component that is already
+Equal sets are one node from the start. `components` needs links up to reachability, so pairs inside a component that is already
 known are not looked at: rounds of stars first verify each node with one leader among the nodes that share most of its
 postings (as many pairs as nodes); what then still lies in different components is joined and verified exhaustively. No
-group's pairs are all emitted and no pair of different texts that could join two components is left out.
+group's pairs are all emitted and no pair of different texts that could join two components is left out. `linked` adds each
+document's number of links: as all links lie inside components, every pair of different sets of a component is then compared
+on the whole sets, in blocks, and only each set's count is given out.
 
 The frequency estimates only order the shingles and choose l: they come from all texts, each task's chunks report shingles
 that occur in LOCAL or more texts of a chunk, and the HEAVY most frequent are kept. The result does not depend on them.
@@ -44,6 +46,8 @@ MOST_MATCHES, STARS = 8, 2
 CHUNK, BATCH_ROWS = 4_000_000, 1_000
 #: Sets of a block of a shingle's postings.
 BLOCK = 2_000
+#: Shingles of a block of a component's sets (8 bytes each; a task holds two blocks).
+BLOCK_SHINGLES = 4_000_000
 #: Tables of ids up to this number of rows (16 bytes each) are broadcast, larger ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -235,17 +239,26 @@ def _links(near: DataFrame, base: DataFrame, some: DataFrame, settings: Settings
 
 def components(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (xxhash64 of the text), n_shingles, component_id for every row."""
+    return _run(docs, settings, id_col, text_col, False)
+
+
+def linked(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As components, with n_links: the number of other sets, each once, that the row's set is similar to (null without an id)."""
+    return _run(docs, settings, id_col, text_col, True)
+
+
+def _run(docs: DataFrame, settings: Settings, id_col: str, text_col: str, count: bool) -> DataFrame:
     spark = docs.sparkSession
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     spark.conf.set(setting, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
     try:  # all that runs Python is done when this returns
-        return _components(docs, settings, id_col, text_col)
+        return _components(docs, settings, id_col, text_col, count)
     finally:
         spark.conf.set(setting, before)
 
 
-def _components(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, settings: Settings, id_col: str, text_col: str, count: bool) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     sets = materialise(sets_of(base, settings), "sets")
@@ -269,7 +282,49 @@ def _components(docs: DataFrame, settings: Settings, id_col: str, text_col: str)
     more = materialise(_links(_crossing(posts, known, some, settings), base, some, settings), "links")
     if more.limit(1).count():
         known = connected_components(links.unionByName(more), "a", "b")
-    return _labelled(sets, known)
+    out = _labelled(sets, known)
+    if not count:
+        return out.drop("s")
+    n = _n_links(known, base, some, settings)
+    return out.join(n, "s", "left").select("id", "th", "n_shingles", "component_id", F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+
+
+def _n_links(known: DataFrame, base: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
+    """s, n_links for the nodes of components. Pairs are looked at inside (component, two blocks of its sets) and never made."""
+    nodes = materialise(some.select("s", "n", "id", "th").join(known.select(F.col("id").alias("s"), F.col("component").alias("c")), "s"), "linked")
+    full = materialise(_full_sets(base, nodes.select("s", "id", "th"), settings), "full")
+    cuts = nodes.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("cuts"))
+    q = nodes.select("s", "n", "c").join(cuts, "c").withColumn("own", F.pmod(F.xxhash64("s"), F.col("cuts")).cast("int"))
+    r = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", "n")
+    r = r.join(full, "s").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "n", "s")
+    counted = r.select("c", "i", "j", "own", "s", "set").mapInArrow(_by_group(("c", "i", "j"), lambda t, at: _counted_links(t, at, settings)), "s long, k long")
+    return materialise(counted.groupBy("s").agg(F.sum("k").alias("n_links")), "counts")
+
+
+def _counted_links(t: pa.Table, cuts: np.ndarray, settings: Settings) -> Iterator[pa.RecordBatch]:
+    """s, k: similar sets of each set in its group; groups are sorted by size."""
+    i, j, own, s = (t.column(c).to_numpy() for c in ("i", "j", "own", "s"))
+    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("set")]
+    k = np.zeros(len(s), np.int64)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        n = np.array([len(x) for x in sets[lo:hi]])
+        begin = np.append(0, np.cumsum(n))
+        token, ids = np.unique(np.concatenate(sets[lo:hi]), return_inverse=True)
+        ends, has = np.searchsorted(n, n * 100 // settings.percent, "right"), np.zeros(len(token), np.uint8)
+        for x in range(hi - lo - 1):
+            e = ends[x]
+            if e <= x + 1:
+                continue
+            mine = ids[begin[x] : begin[x + 1]]
+            has[mine] = 1
+            both = np.add.reduceat(has[ids[begin[x + 1] : begin[e]]], begin[x + 1 : e] - begin[x + 1], dtype=np.int64)
+            has[mine] = 0
+            on = 100 * both >= settings.percent * (n[x] + n[x + 1 : e] - both)
+            if i[lo] != j[lo]:
+                on &= own[lo + x + 1 : lo + e] != own[lo + x]
+            k[lo + x] += on.sum()
+            k[lo + x + 1 : lo + e] += on
+    yield pa.RecordBatch.from_arrays([pa.array(s[k > 0]), pa.array(k[k > 0])], ["s", "k"])
 
 
 def _full_sets(base: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
@@ -323,19 +378,25 @@ def _crossing(posts: DataFrame, known: DataFrame, some: DataFrame, settings: Set
 
 
 def _within(settings: Settings):
+    return _by_group(("token", "i", "j"), lambda t, cuts: _pairs_of(t, cuts, settings))
+
+
+def _by_group(columns: tuple[str, ...], f):
+    """f(table, cuts) on whole groups of rows that follow each other with equal columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            keys = np.stack([t.column(c).to_numpy() for c in ("token", "i", "j")])
+            keys = np.stack([t.column(c).to_numpy() for c in columns])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             if len(cuts):
-                yield from _pairs_of(t.slice(0, int(cuts[-1])), np.append(0, cuts), settings)
+                yield from f(t.slice(0, int(cuts[-1])), np.append(0, cuts))
                 rest = t.slice(int(cuts[-1]))
             else:
                 rest = t
         if rest is not None:
-            yield from _pairs_of(rest, np.array([0, rest.num_rows]), settings)
+            yield from f(rest, np.array([0, rest.num_rows]))
 
     return run
 
@@ -385,7 +446,7 @@ def _labelled(sets: DataFrame, known: DataFrame) -> DataFrame:
     lab = own.join(known.withColumnRenamed("id", "s"), "s", "left").select("s", "k", "least", F.coalesce("component", "s").alias("c"), F.col("component").isNotNull().alias("linked"))
     least = lab.filter("linked").groupBy("c").agg(F.min("least").alias("m"))
     names = lab.filter("linked or k > 1").join(least, "c", "left").select("s", F.coalesce("m", "least").alias("m"))
-    return sets.join(names, "s", "left").select("id", "th", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("s").isNull(), F.col("id")).otherwise(F.coalesce("m", "id"))).alias("component_id"))
+    return sets.join(names, "s", "left").select("s", "id", "th", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("s").isNull(), F.col("id")).otherwise(F.coalesce("m", "id"))).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -125,5 +125,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @op("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jaccard.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    out = jaccard.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")

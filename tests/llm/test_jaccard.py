@@ -88,3 +88,16 @@ def test_edges(spark):
     assert jaccard.components(df.limit(0)).count() == 0
     kept = sorted((r["doc_id"] or 0, (r["text"] or "")[:11]) for r in jaccard.keep_one(df).collect())
     assert [k for k, _ in kept] == [0, 1, 9, 11, 11]
+
+
+@pytest.mark.parametrize("block", [2_000, 5])
+def test_no_link_is_lost(spark, monkeypatch, block):
+    """All links of all sets, also those inside a component that other links hold together."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = corpus(3)
+    every = {frozenset(sets(t)) for _, t in rows if sets(t)}
+    near = {x: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in every) for x in every}
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["n_links"] for r in jaccard.linked(df).collect()}
+    assert got.pop(None) is None and max(near.values()) > 3
+    assert got == {i: near.get(frozenset(sets(t)), 0) for i, t in rows}
