@@ -2,8 +2,9 @@ r"""Quotation linking: conversations ordered by replies, without their quotes.
 
 A line's quote level is the number of `>` at its start (spaces between them allowed). Runs of lines of one level are
 passages. A passage is normalised (A-Z lower-cased, everything but letters and digits dropped to single spaces) and hashed;
-so is every own (level 0) passage, paragraph and whole message that it may repeat. A quoted passage links to the original
-with the same hash: an own passage of another, earlier message of the same conversation if there is one, else of the
+so is every own (level 0) passage, paragraph, line, sentence and whole message that it may repeat. A quoted passage links by
+its whole if it can, else by its paragraphs, else its lines, else its sentences, to the message that has most characters of
+them, in the same conversation if there is one. Each part's original is the one with the same hash: an own passage of another, earlier message of the same conversation if there is one, else of the
 earliest message of any conversation with a smaller (conv_id, turn). A message replies to the original of its passage at
 the lowest level, the first such in the text; deeper levels are its originals' quotes and give further links.
 
@@ -13,8 +14,8 @@ but keep the order of their turns. Ancestors are found by doubling, in as many r
 
 A quoted passage whose hash very many messages share is no hot group: originals are reduced to the first by partial minima.
 
-Edge cases: a null text is empty; a passage shorter than `least` characters after normalising links to nothing, but goes
-from the text; a row with a null conv_id or turn takes no part in links; rows that repeat (conv_id, turn) are messages of
+Edge cases: a null text is empty; a part shorter than `least` characters after normalising links inside its conversation only;
+a piece of a sentence that is no line links to nothing, but goes from the text; a row with a null conv_id or turn takes no part in links; rows that repeat (conv_id, turn) are messages of
 their own, ordered by text; an empty table gives an empty result; other columns are left alone.
 """
 
@@ -65,25 +66,42 @@ def key(passage: str, least: int = LEAST) -> int | None:
     return xxhash.xxh3_64_intdigest(norm) - (1 << 63) if len(norm) >= least else None
 
 
-def parse(text: str | None, least: int = LEAST) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The text without quotes; (level, hash) of each quoted passage in order; hashes of what others may quote."""
+def grains(passage: str) -> list[list[str]]:
+    """The passage; its paragraphs; its lines; its sentences."""
+    paragraphs = re.split(r"\n[ \t]*\n", passage)
+    return [[passage], paragraphs, passage.split("\n"), [x for q in paragraphs for x in re.split(r"(?<=[.!?])\s+", q)]]
+
+
+def parse(text: str | None) -> tuple[str, list[tuple[int, list[tuple[int, int, int]]]], list[int]]:
+    """The text without quotes; of each quoted passage in order the level and its parts (grain, hash, characters); hashes of what others may quote."""
     ps = passages(text)
     own = [p for n, p in ps if n == 0]
-    quoted = [(n, k) for n, p in ps if n and (k := key(p, least)) is not None]
-    parts = [*own, "\n".join(own), *[q for p in own for q in re.split(r"\n[ \t]*\n", p)], *[q for p in own for q in p.split("\n")]]
-    return "\n".join(p.strip("\n") for p in own if p.strip()), quoted, sorted({k for p in parts if (k := key(p, least)) is not None})
+    quoted = []
+    for n, p in ps:
+        if n:
+            parts: dict[int, tuple[int, int, int]] = {}
+            for grain, of in enumerate(grains(p)):
+                for x in of:
+                    if (k := key(x, 1)) is not None:
+                        parts.setdefault(k, (grain, k, len(normalise(x))))
+            if parts:
+                quoted.append((n, list(parts.values())))
+    said = ["\n".join(own), *[x for p in own for of in grains(p) for x in of]]
+    return "\n".join(p.strip("\n") for p in own if p.strip()), quoted, sorted({k for p in said if (k := key(p, 1)) is not None})
 
 
-SCHEMA = "conv_id long, turn long, copy long, role string, body string, quoted array<struct<level:int,k:long>>, own array<long>"
+SCHEMA = "conv_id long, turn long, copy long, role string, body string, quoted array<struct<level:int,parts:array<struct<grain:int,k:long,size:int>>>>, own array<long>"
 
 
-def messages(conversations: DataFrame, least: int = LEAST) -> DataFrame:
+def messages(conversations: DataFrame) -> DataFrame:
     """A row for each message: its body, quoted passages and the hashes others may quote it by. copy tells equal ids apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [parse(t.as_py(), least) for t in b.column("text")]
-            quoted = pa.array([[{"level": n, "k": k} for n, k in q] for _, q, _ in got], pa.list_(pa.struct([("level", pa.int32()), ("k", pa.int64())])))
+            got = [parse(t.as_py()) for t in b.column("text")]
+            part = pa.struct([("grain", pa.int32()), ("k", pa.int64()), ("size", pa.int32())])
+            rows = [[{"level": n, "parts": [dict(zip(("grain", "k", "size"), x, strict=True)) for x in parts]} for n, parts in q] for _, q, _ in got]
+            quoted = pa.array(rows, pa.list_(pa.struct([("level", pa.int32()), ("parts", pa.list_(part))])))
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("copy"), b.column("role"), pa.array([x for x, _, _ in got], pa.string()), quoted, pa.array([o for _, _, o in got], pa.list_(pa.int64()))], ["conv_id", "turn", "copy", "role", "body", "quoted", "own"])
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), F.col("role").cast("string").alias("role"), "text")
@@ -94,24 +112,28 @@ def _id(prefix: str = "") -> list[str]:
     return [f"{prefix}{c}" for c in ("conv_id", "turn", "copy")]
 
 
-def links(msgs: DataFrame) -> DataFrame:
+def links(msgs: DataFrame, least: int = LEAST) -> DataFrame:
     """at (the quoting message), n (place of the passage), level, to (the original): structs (conv_id, turn, copy)."""
     able = msgs.filter("conv_id is not null and turn is not null")
     me = F.struct(*_id())
-    quoted = able.filter(F.size("quoted") > 0).select(me.alias("at"), F.posexplode("quoted").alias("n", "q")).select("at", "n", "q.level", "q.k")
+    quoted = able.filter(F.size("quoted") > 0).select(me.alias("at"), F.posexplode("quoted").alias("n", "q")).select("at", "n", "q.level", F.explode("q.parts").alias("p")).select("at", "n", "level", "p.*")
     asked = quoted.select("k").distinct()
     said = able.select(me.alias("to"), F.explode("own").alias("k")).join(asked, "k", "left_semi")
     first = said.groupBy("k").agg(F.min("to").alias("anywhere"))
     here = said.groupBy("k", F.col("to.conv_id").alias("conv_id")).agg(F.min("to").alias("here"))
     both = quoted.withColumn("conv_id", F.col("at.conv_id")).join(here, ["k", "conv_id"], "left").join(first, "k")
     before = lambda c: F.when(F.col(c) < F.col("at"), F.col(c))
-    return both.withColumn("to", F.coalesce(before("here"), before("anywhere"))).filter("to is not null").select("at", "n", "level", "to")
+    far = F.when(F.col("size") >= least, before("anywhere"))
+    to = both.withColumn("to", F.coalesce(before("here"), far)).filter("to is not null")
+    sums = to.groupBy("at", "n", "level", "grain", "to").agg(F.sum("size").alias("size"))
+    rank = F.struct("grain", (F.col("to.conv_id") != F.col("at.conv_id")).alias("away"), (-F.col("size")).alias("size"), "to")
+    return sums.groupBy("at", "n", "level").agg(F.min(rank).alias("m")).select("at", "n", "level", F.col("m.to").alias("to"))
 
 
 def link(conversations: DataFrame, least: int = LEAST) -> DataFrame:
     """conv_id, turn, role, body, n_quotes, n_linked, reply_conv, reply_turn, root_conv, root_turn, depth, path (`conv.turn` from the root on)."""
-    msgs = materialise(messages(conversations, least), "messages")
-    found = materialise(links(msgs), "links")
+    msgs = materialise(messages(conversations), "messages")
+    found = materialise(links(msgs, least), "links")
     parent = found.groupBy("at").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "n", "to")).alias("m")).select("at", "n_linked", F.col("m.to").alias("up"))
     parent = materialise(parent, "parents")
     # doubling: of each replying message, the farthest ancestor found so far and the path from there

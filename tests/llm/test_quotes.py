@@ -37,3 +37,22 @@ def test_links_and_order(spark):
     order = [(r["conv_id"], r["turn"]) for r in sorted((r for r in got if r["path"] and r["root_conv"] == 1), key=lambda r: r["path"])]
     assert order == [(1, 0), (1, 1), (1, 3), (1, 4), (2, 0), (1, 2)]
     assert quotes.link(df.limit(0)).count() == 0
+
+
+def test_quotes_of_parts(spark):
+    one = "The first paragraph is about lists.\n\nThe second one is about heaps,\nand it has a second line too.\n\nThe third is short. It has two sentences. Or three of them!"
+    rows = [
+        (1, 0, one),
+        (1, 1, "> The first paragraph is about lists.\n>\n> The third is short. It has two sentences. Or three of them!\nTwo of three paragraphs."),
+        (1, 2, "> and it has a second line too.\n> The third is short.\nA line and a sentence."),
+        (1, 3, "> It has two sentences.\nOne sentence within a line."),
+        (1, 4, "are you ok"),
+        (1, 5, "> Are you OK?\nYes."),
+        (2, 0, "> are you ok\nShort words of another conversation."),
+        (2, 1, "> these words nobody said. Nor these ones.\nHm."),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(df).collect()}
+    reply = {k: (r["reply_conv"], r["reply_turn"]) for k, r in got.items() if r["reply_turn"] is not None}
+    assert reply == {(1, 1): (1, 0), (1, 2): (1, 0), (1, 3): (1, 0), (1, 5): (1, 4)}
+    assert all(got[k]["n_linked"] == 1 and got[k]["n_quotes"] == 1 for k in reply) and got[(2, 0)]["n_linked"] == 0
