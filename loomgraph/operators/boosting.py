@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from loomgraph.operators.stats import stratified_split
 
 
+#: A model is fitted for each class; more classes are refused.
+MOST_CLASSES = 1000
+
+
 def one_vs_rest(df: DataFrame, ident: str, features: str, label: str, least: int = 10, trees: int = 10, depth: int = 6, step: float = 0.3) -> DataFrame:
     """label, accuracy on the held-out fifth, and the leading feature's place and gain, for classes of `least` rows or more.
 
@@ -20,7 +24,11 @@ def one_vs_rest(df: DataFrame, ident: str, features: str, label: str, least: int
     sizes = kept.groupBy(label).agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(label)
     data = stratified_split(kept.select(ident, label, features), label, ident, 0.2, "gbt").withColumn("x", array_to_vector(F.transform(features, lambda v: v.cast("double")))).persist()
     rows = []
-    for r in sizes.limit(1000).collect():
+    classes = sizes.limit(MOST_CLASSES + 1).collect()
+    if len(classes) > MOST_CLASSES:
+        data.unpersist()
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    for r in classes:
         one = data.withColumn("y", (F.col(label) == r[label]).cast("double"))
         train, test = one.filter("split = 'train'"), one.filter("split <> 'train'")
         m = GBTClassifier(featuresCol="x", labelCol="y", maxDepth=depth, stepSize=step, maxIter=trees, seed=0).fit(train)

@@ -23,6 +23,10 @@ def fuzzy_best_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.best_unique(M.guard(scored, "a"), "a", "b").select("a", "b", F.round("score", 6).alias("score"))
 
 
+#: Entries of a vocabulary that is an array literal; a longer one is refused.
+MOST_WORDS = 1000
+
+
 @query(
     "levenshtein_best",
     """
@@ -33,7 +37,9 @@ def fuzzy_best_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def levenshtein_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest entry of a short list: the list, a vocabulary of fixed size, is an array literal of the row."""
-    words = [r[0] for r in table(spark, sf_dir, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(1000).collect()]
+    words = [r[0] for r in table(spark, sf_dir, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(MOST_WORDS + 1).collect()]
+    if len(words) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} entries in the vocabulary")
     far = F.array(*[F.struct(F.levenshtein("a", F.lit(w)).alias("d"), F.lit(w).alias("b")) for w in words])
     return table(spark, sf_dir, "part").select(F.col("p_type").alias("a")).distinct().withColumn("m", F.array_min(far)).select("a", "m.b", "m.d")
 
