@@ -141,10 +141,13 @@ def _by_ranges(base: DataFrame, known: list[Rule], id_col: str, default: str, sc
     counts = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}  # a row for each range
     salts = F.create_map(*[F.lit(x) for i in range(len(starts)) for x in (i, 1 + counts.get(i, 0) // URLS_PER_TASK)])
     base = base.withColumn("salt", F.pmod(F.xxhash64("path", "id"), salts[F.col("part")]))
-    rows = [(i, s, r.host, r.path, r.verdict) for i, rs in place.items() for s in range(1 + counts.get(i, 0) // URLS_PER_TASK) for r in rs]
+    # ranges without a url get no rules, so no group of rules stands alone
+    rows = [(i, s, r.host, r.path, r.verdict) for i, k in counts.items() for s in range(1 + k // URLS_PER_TASK) for r in place.get(i, [])]
     right = spark.createDataFrame(pd.DataFrame(rows, columns=["part", "salt", "host", "path", "verdict"]), "part int, salt long, host string, path string, verdict string")
 
     def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:  # a salt that no url has
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in (id_col, "host", "path", "rule", "verdict")})
         sweep = Sweep(sorted_rules([Rule(*x) for x in zip(right.host, right.path, right.verdict, strict=True)]))
         left = left.assign(key=[tuple(k) for k in left.k]).sort_values(["key", "path"])
         found = [sweep.of(k, p) for k, p in zip(left.key, left.path, strict=True)]

@@ -29,6 +29,18 @@ def test_like_brute_force(spark, monkeypatch, size):
     assert by[900] == by[901] == by[902] == ("", "") and by[903] == ("h\n.b", "/p\n")
 
 
+@pytest.mark.parametrize("urls", [[(1, "x://n7.z/a")], [(i, f"x://s.n{i * 37 % 900}.{'bcz'[i % 3]}/p{i % 7}/q") for i in range(150)]])
+def test_sixty_thousand_rules(spark, urls):
+    """More rules than one range holds, and ranges without a url."""
+    rules = [Rule(f"n{i % 3000}.{'bcz'[i % 3]}", f"/p{i // 3000}", "block") for i in range(60_000)]
+    assert len(urlrules.sorted_rules(rules)) > urlrules.RULES_PER_RANGE
+    got = judge(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        want = brute(r["host"], r["path"], [x for x in rules if r["host"].endswith(x.host)])
+        assert (r["rule"], r["verdict"]) == ((want.host + want.path, want.verdict) if want else (None, "allow"))
+
+
 def test_many_paths_of_one_host():
     rules = urlrules.sorted_rules([Rule("h", "/" + "ab"[i % 2] * (i // 2), "block") for i in range(80)])
     sweep = urlrules.Sweep(rules)
