@@ -11,9 +11,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests on one machine)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and all tasks run on this machine."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set(SETTING, folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -41,5 +44,15 @@ def release(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by `materialise` that nothing reads any more; others are left alone."""
+    for df in tables:
+        folder = shared_folder(df.sparkSession)
+        local = folder.removeprefix("file:")
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/" + local.strip("/") + "/" in path:
+                release(df.sparkSession, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
