@@ -2,27 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.storage import materialise
+from loomgraph.storage import dropped, materialise
+
+#: Edges that a task holds before it contracts them; so many go to one task.
+CHUNK = 2_000_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, sorted, of edges u - v, and the smallest id that each reaches over them."""
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        x, y = up[a], up[b]
+        on = x != y
+        if not on.any():
+            return ids, ids[up]
+        a, b = a[on], b[on]
+        np.minimum.at(up, np.maximum(x, y)[on], np.minimum(x, y)[on])
+        while (up != up[up]).any():
+            up = up[up]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's edges, a row (id, smallest id reached) for each id."""
+    kind, parts, size = None, [], 0
+    for b in batches:
+        kind = b.schema.field(0).type
+        parts.append([b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)])
+        size += b.num_rows
+        if size >= CHUNK and len(parts) > 1:
+            parts = [list(forest(*map(np.concatenate, zip(*parts, strict=True))))]
+            size = len(parts[0][0]) // 2  # what is left may be as large as the task's ids
+    if parts:
+        ids, least = forest(*map(np.concatenate, zip(*parts, strict=True)))
+        for at in range(0, len(ids), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000], kind) for x in (ids, least)], ["u", "v"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """id, component (the smallest id reachable) for every vertex that has an edge.
 
-    Each round takes the smallest label among the neighbours and then the label's own label, so long paths shorten
-    geometrically. Minima are pre-aggregated before each shuffle and each round is written to the shared folder.
+    Each task first contracts its own edges to stars, so an id has one row a task at most and no hub travels with its
+    edges. Each round then brings the stars of an id together, contracts again, and replaces every root by its own root;
+    it ends when each id has one root that is a root itself. Rounds are written to the shared folder, older ones deleted.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
-    e = materialise(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialise(e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    kind = e.dtypes[0][1]
+    schema = f"u {kind}, v {kind}"
+    stars = materialise(e.mapInArrow(_contract, schema), "stars")
     while True:
-        near = e.join(labels.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("component").alias("m"))
-        hooked = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("mid"))
-        up = labels.select(F.col("id").alias("mid"), F.col("component").alias("top"))
-        new = materialise(hooked.join(up, "mid").select("id", "old", F.least("mid", "top").alias("component")), "labels")
-        moved = new.filter("old <> component").limit(1).count()
-        labels = new.select("id", "component")
-        if not moved:
-            return labels
+        width = max(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), stars.count() // CHUNK)
+        met = materialise(stars.repartition(width, "u").mapInArrow(_contract, schema), "stars")
+        roots = materialise(met.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")), "roots")
+        up = roots.select(F.col("u").alias("m"), F.col("m").alias("top"))
+        open_ = roots.join(up, "m").filter("m <> x or top <> m").limit(1).count()
+        if not open_:
+            dropped(stars, met)
+            return roots.select(F.col("u").alias("id"), F.col("m").alias("component"))
+        higher = met.join(up.withColumnRenamed("m", "v"), "v").select("u", F.col("top").alias("v"))
+        new = materialise(higher.unionByName(roots.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        dropped(stars, met, roots)
+        stars = new
