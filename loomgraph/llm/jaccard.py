@@ -4,17 +4,15 @@ A document's set holds the hashes (64 bits) of its distinct `n`-word shingles. U
 ones last, two sets with Jaccard similarity of at least t share at least l members of their l-prefixes, the first
 |x| - ceil(t |x|) + l shingles. Each document chooses its own l: from estimated document frequencies of the prefix's
 members it weighs the postings to be read against the candidates that remain when l shared members are asked for. A pair
-is verified only if its prefixes share min(l_x, l_y) members or more.
+is verified only if its prefixes share min(l_x, l_y) members or more, and then on the whole sets.
 
-Candidates are first held against each other as bitmaps: a set bit that the other lacks is a shingle that it lacks, which
-bounds the intersection from above, so nothing similar is lost. The rest is verified on the whole sets.
-
-Equal sets are one node from the start. `components` needs links up to reachability, so pairs inside a component that is already
-known are not looked at: rounds of stars first verify each node with one leader among the nodes that share most of its
-postings (as many pairs as nodes); what then still lies in different components is joined and verified exhaustively. No
-group's pairs are all emitted and no pair of different texts that could join two components is left out. `linked` adds each
-document's number of links: as all links lie inside components, every pair of different sets of a component is then compared
-on the whole sets, in blocks, and only each set's count is given out.
+Equal sets are one node. Similar nodes meet in the postings of some member of their 1-prefixes, its rarest shingles. There a
+task looks at pairs by size and by bitmap (a set bit that the other lacks is a shingle that it lacks, which bounds the
+intersection from above, so nothing similar is lost) and gives out a spanning forest of what passes: fewer rows than nodes,
+never the pairs. Components of these forests hold every link. Their texts are brought together, in blocks where a component
+is large, and there the prefixes' shared members are counted and pairs with enough of them verified. Again a spanning
+forest of the links is given out, and each node's number of links. So no step makes a row for each pair, and no pair of
+different texts that is linked is left out.
 
 The frequency estimates only order the shingles and choose l: they come from all texts, each task's chunks report shingles
 that occur in LOCAL or more texts of a chunk, and the HEAVY most frequent are kept. The result does not depend on them.
@@ -37,17 +35,21 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import WordHashes, lower_words
 from loomgraph.operators.components import connected_components
-from loomgraph.storage import materialise
+from loomgraph.storage import dropped, materialise
 
 LOCAL, HEAVY = 2, 400_000
-#: The largest l, and star rounds before the exhaustive one.
-MOST_MATCHES, STARS = 8, 2
-#: Shingles in which a task counts repeats at once, and rows of a batch sent to Python (whole sets are large).
-CHUNK, BATCH_ROWS = 4_000_000, 1_000
-#: Sets of a block of a shingle's postings.
+#: Shingles estimated to be in this many texts or more have their postings dealt out in blocks from the start.
+HOT = 5_000
+#: The largest l.
+MOST_MATCHES = 8
+#: Shingles in which a task counts repeats at once, and texts whose sets it holds at once.
+CHUNK, ROWS = 4_000_000, 500
+#: Sets of a block of a shingle's postings or of a component.
 BLOCK = 2_000
 #: Shingles of a block of a component's sets (8 bytes each; a task holds two blocks).
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 1_500_000
+#: Bits of a bitmap at most. Larger sets' bitmaps tell less, which costs time and changes no result.
+MOST_BITS = 8_192
 #: Tables of ids up to this number of rows (16 bytes each) are broadcast, larger ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,15 +85,20 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def prefix(s: np.ndarray, heavy: np.ndarray, df: np.ndarray, settings: Settings) -> tuple[int, np.ndarray]:
-    """l and the l-prefix of a set. heavy: sorted shingles with their estimated frequencies df."""
-    n = len(s)
-    d = np.zeros(n)
+def ranked(s: np.ndarray, heavy: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated frequencies of a set's members, and their places in the order of all shingles."""
+    d = np.zeros(len(s))
     if len(heavy):
         at = np.searchsorted(heavy, s)
         at[at == len(heavy)] = 0
         d = np.where(heavy[at] == s, df[at], 0)
-    order = np.lexsort((s, d))
+    return d, np.argsort(d, kind="stable")  # s is sorted, so ties go by hash
+
+
+def prefix(s: np.ndarray, heavy: np.ndarray, df: np.ndarray, settings: Settings) -> tuple[int, np.ndarray]:
+    """l and the l-prefix of a set. heavy: sorted shingles with their estimated frequencies df."""
+    n = len(s)
+    d, order = ranked(s, heavy, df)
     base = n - settings.least(n)
     if not d[order[: base + 1]].any():
         return 1, s[order[: base + 1]]
@@ -102,9 +109,17 @@ def prefix(s: np.ndarray, heavy: np.ndarray, df: np.ndarray, settings: Settings)
     return best + 1, s[order[: base + best + 1]]
 
 
+def meeting(s: np.ndarray, heavy: np.ndarray, df: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The 1-prefix of a set, its members below and from HOT on."""
+    d, order = ranked(s, heavy, df)
+    first = order[: len(s) - settings.least(len(s)) + 1]
+    hot = d[first] >= HOT
+    return s[first[~hot]], s[first[hot]]
+
+
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """One bit for each hash, in a power of two of at least four bits a shingle; halves can be laid over each other."""
-    size = 1 << max(8, (4 * len(s) - 1).bit_length())
+    """One bit for each hash, in a power of two of at least a bit a shingle and at most MOST_BITS; halves can be laid over each other."""
+    size = min(1 << max(8, (len(s) - 1).bit_length()), MOST_BITS)
     bits = np.zeros(size, bool)
     bits[((s >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little")
@@ -154,28 +169,34 @@ def heavy_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.
     return h[o], k[o]
 
 
-def sets_of(docs: DataFrame, settings: Settings) -> DataFrame:
-    """id, th (the text's hash), s (the set's id), n, l, prefix, bits; l, prefix and bits of a set that repeats in a task are given once."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, settings))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
+def sets_of(docs: DataFrame, settings: Settings, shared) -> DataFrame:
+    """id, th (the text's hash), s (the set's id), n, tokens and hot (where the set meets others), bits; the last three of a set that repeats in a task are given once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (heavy, df), seen = WordHashes(), shared.value, set()
-        for b in batches:
-            ids, n, l, pre, bits = [], [], [], [], []
+        for b in _slices(batches):
+            ids, n, tokens, hot, bits = [], [], [], [], []
             for t in b.column("t"):
                 x = shingles(t.as_py(), known, settings.words)
                 i = set_id(x) if len(x) else None
                 first = len(x) > 0 and i not in seen
                 seen.add(i)
-                m, p = prefix(x, heavy, df, settings) if first else (0, None)
+                p, q = meeting(x, heavy, df, settings) if first else (None, None)
                 ids.append(i)
                 n.append(len(x))
-                l.append(m)
-                pre.append(None if p is None else p.view(np.int64))
+                tokens.append(None if p is None else p.view(np.int64))
+                hot.append(None if q is None or not len(q) else q.view(np.int64))
                 bits.append(bitmap(x).tobytes() if first else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(l, pa.int32()), pa.array(pre, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["id", "th", "s", "n", "l", "prefix", "bits"])
+            long = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, long), pa.array(hot, long), pa.array(bits, pa.binary())], ["id", "th", "s", "n", "tokens", "hot", "bits"])
 
-    return docs.mapInArrow(run, "id long, th long, s long, n long, l int, prefix array<long>, bits binary")
+    return docs.mapInArrow(run, "id long, th long, s long, n long, tokens array<long>, hot array<long>, bits binary")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,43 +219,187 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 50_000]), pa.array(s[at : at + 50_000])], ["token", "s"])
 
 
-def _verify(settings: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            on = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                on.append(100 * both >= settings.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(on, pa.bool_()))
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is known to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    return run
 
+def _in_blocks(rows: DataFrame, key: str, cuts: DataFrame) -> DataFrame:
+    """rows, once for each pair (i, j) of blocks of their group that holds their block (own). cuts: the groups of several blocks."""
+    q = rows.join(_small(cuts), key, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("s"), F.col("cuts")).cast("int"))
+    r = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return r.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "cuts")
+
+
+def _by_group(columns: tuple[str, ...], start):
+    """f(table) on whole groups of rows that follow each other with equal columns; start() gives f for a task."""
 
-def _screen(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, rest, last = start(), [], None
         for b in batches:
-            bits = [[np.frombuffer(v.as_buffer(), np.uint8) for v in b.column(c)] for c in ("xa", "xb")]
-            on = [possible(x, n, y, m, settings.percent) for x, n, y, m in zip(bits[0], b.column("na").to_pylist(), bits[1], b.column("nb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(on, pa.bool_()))
+            keys = np.stack([b.column(c).to_numpy() for c in columns])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(keys[:, lo]) if hi > lo else last
+                if rest and key != last:
+                    yield from f(pa.Table.from_batches(rest))
+                    rest = []
+                if hi > lo:
+                    rest.append(b.slice(lo, hi - lo))
+                    last = key
+        if rest:
+            yield from f(pa.Table.from_batches(rest))
 
     return run
 
 
-def _screened(pairs: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
-    """Those of the candidate pairs (a, b) that their bitmaps allow."""
-    side = lambda c: some.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
-    near = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "xa", "xb")
-    return near.mapInArrow(_screen(settings), "a long, b long")
-
-
-def _links(near: DataFrame, base: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
-    """Those of the screened pairs (a, b) that are similar: both whole sets are computed again and compared."""
-    near = materialise(near, "screened")
-    asked = near.select(F.col("a").alias("s")).unionByName(near.select(F.col("b").alias("s"))).distinct()
-    sets = materialise(_full_sets(base, some.join(asked, "s", "left_semi").select("s", "id", "th"), settings), "full")
-    withb = near.join(sets.select(F.col("s").alias("b"), F.col("set").alias("sb")), "b")
-    return withb.join(sets.select(F.col("s").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(_verify(settings), "a long, b long")
+class Union(dict):
+    """Sets that are known to hang together in this task."""
+
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def roots(self, s: np.ndarray) -> np.ndarray:
+        return np.array([self.root(x) for x in s.tolist()], np.int64)
+
+
+def _forest(settings: Settings):
+    """Of each group of postings, links a, b that hold together what sizes and bitmaps allow; none that the task has already given in effect."""
+
+    def start():
+        known = Union()
+
+        def f(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            if t.num_rows < 2:
+                return
+            s, n, own = t.column("s").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("own").to_numpy()
+            c = known.roots(s)
+            if (c == c[0]).all():
+                return
+            bits = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("bits")]
+            across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+            width = np.array([len(v) for v in bits])
+            folded: dict[int, np.ndarray] = {}
+            ends = np.searchsorted(n, n * 100 // settings.percent, "right")
+            a, b = [], []
+            for x in range(len(n) - 1):
+                y = np.arange(x + 1, ends[x])
+                y = y[c[y] != c[x]]
+                if across:
+                    y = y[own[y] != own[x]]
+                if not len(y):
+                    continue
+                w = int(width[x])
+                if w not in folded:  # sizes of similar sets differ by a quarter, so widths by one halving at most
+                    m = folded[w] = np.zeros((len(n), w), np.uint64)
+                    for k in np.flatnonzero((width == w) | (width == 2 * w)):
+                        m[k] = bits[k] if width[k] == w else bits[k][:w] | bits[k][w:]
+                p, q = folded[w][x], folded[w][y]
+                both = np.minimum(n[x] - np.bitwise_count(p & ~q).sum(1, dtype=np.int64), n[y] - np.bitwise_count(q & ~p).sum(1, dtype=np.int64))
+                y = y[100 * both >= settings.percent * (n[x] + n[y] - both)]
+                if not len(y):
+                    continue
+                met, first = np.unique(c[y], return_index=True)
+                a += [int(s[x])] * len(met)
+                b += s[y[first]].tolist()
+                for r in met.tolist():
+                    known[r] = int(c[x])
+                c[np.isin(c, met)] = c[x]
+                if (c == c[0]).all():
+                    break
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return f
+
+    return _by_group(("token", "i", "j"), start)
+
+
+def candidates(sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """s, n, id, th of the sets that meet others; and id, component: what may be linked with it."""
+    spark = sets.sparkSession
+    part = sets.filter("tokens is not null and id is not null and s is not null")
+    size = part.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 2_000_000)
+    cold = part.select("s", F.explode("tokens").alias("token")).repartition(width, "token").mapInArrow(_shared, "token long, s long")
+    hot = part.filter("hot is not null").select(F.explode("hot").alias("token"), "s").distinct()
+    posts = materialise(cold.unionByName(hot), "postings")
+    some = part.join(posts.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("id", "th")).alias("r"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    some = materialise(some.select("s", "n", F.col("r.id").alias("id"), F.col("r.th").alias("th"), "bits"), "nodes")
+    cuts = materialise(posts.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts")).filter("cuts > 1"), "cuts")
+    rows = _in_blocks(posts, "token", cuts).join(some.select("s", "n", "bits"), "s")
+    rows = rows.repartition(max(width // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "s")
+    edges = materialise(rows.select("token", "i", "j", "own", "s", "n", "bits").mapInArrow(_forest(settings), "a long, b long"), "forests")
+    met = connected_components(edges, "a", "b")
+    dropped(posts, cuts, edges)
+    return some.drop("bits"), met
+
+
+def _verify(settings: Settings, shared, count: bool):
+    """Of each group of texts: links a, b (k null) that hold together what is linked, and, if asked, a set's number of links k in this group."""
+
+    def start():
+        known, words, (heavy, df) = Union(), WordHashes(), shared.value
+
+        def f(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            if t.num_rows < 2:
+                return
+            s, own = t.column("s").to_numpy(), t.column("own").to_numpy()
+            sets = [shingles(x.as_py(), words, settings.words) for x in t.column("t")]
+            l, pre = zip(*[prefix(x, heavy, df, settings) for x in sets], strict=True)
+            l, n, m = np.array(l), np.array([len(x) for x in sets]), np.array([len(x) for x in pre])
+            begin, pbegin = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(m))
+            token, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            pids = np.searchsorted(token, np.concatenate(pre))
+            del sets, pre
+            has = np.zeros(len(token), np.uint8)
+            across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+            ends = np.searchsorted(n, n * 100 // settings.percent, "right")
+            c, k = known.roots(s), np.zeros(len(s), np.int64)
+            a, b = [], []
+            for x in range(len(n) - 1):
+                e = ends[x]
+                if e <= x + 1 or (not count and (c == c[x]).all()):
+                    continue
+                mine = pids[pbegin[x] : pbegin[x + 1]]
+                has[mine] = 1
+                shared_ = np.add.reduceat(has[pids[pbegin[x + 1] : pbegin[e]]], pbegin[x + 1 : e] - pbegin[x + 1], dtype=np.int64)
+                has[mine] = 0
+                on = shared_ >= np.minimum(l[x], l[x + 1 : e])
+                if across:
+                    on &= own[x + 1 : e] != own[x]
+                if not count:
+                    on &= c[x + 1 : e] != c[x]
+                y = np.flatnonzero(on) + x + 1
+                if not len(y):
+                    continue
+                mine = ids[begin[x] : begin[x + 1]]
+                has[mine] = 1
+                if len(y) == y[-1] - y[0] + 1:
+                    both = np.add.reduceat(has[ids[begin[y[0]] : begin[y[-1] + 1]]], begin[y] - begin[y[0]], dtype=np.int64)
+                else:
+                    both = np.array([has[ids[begin[z] : begin[z + 1]]].sum(dtype=np.int64) for z in y])
+                has[mine] = 0
+                y = y[100 * both >= settings.percent * (n[x] + n[y] - both)]
+                k[x] += len(y)
+                k[y] += 1
+                new = y[c[y] != c[x]]
+                if len(new):
+                    met, first = np.unique(c[new], return_index=True)
+                    a += [int(s[x])] * len(met)
+                    b += s[new[first]].tolist()
+                    for r in met.tolist():
+                        known[r] = int(c[x])
+                    c[np.isin(c, met)] = c[x]
+            some = np.flatnonzero(k) if count else np.empty(0, np.int64)
+            cols = [pa.array(np.append(np.array(a, np.int64), s[some])), pa.array(np.append(np.array(b, np.int64), s[some])), pa.array([None] * len(a) + k[some].tolist(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "k"])
+
+        return f
+
+    return _by_group(("component", "i", "j"), start)
 
 
 def components(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,196 +413,31 @@ def linked(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
 
 
 def _run(docs: DataFrame, settings: Settings, id_col: str, text_col: str, count: bool) -> DataFrame:
-    spark = docs.sparkSession
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
-    try:  # all that runs Python is done when this returns
-        return _components(docs, settings, id_col, text_col, count)
-    finally:
-        spark.conf.set(setting, before)
-
-
-def _components(docs: DataFrame, settings: Settings, id_col: str, text_col: str, count: bool) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    sets = materialise(sets_of(base, settings), "sets")
-    part = sets.filter("id is not null and s is not null")
-    nodes = part.groupBy("s").agg(F.min(F.struct("id", "th")).alias("r"), F.max("n").alias("n"), F.max("l").alias("l"))
-    size = part.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 2_000_000)
-    postings = part.filter("prefix is not null").select("s", F.explode("prefix").alias("token")).repartition(width, "token")
-    shared = materialise(postings.mapInArrow(_shared, "token long, s long"), "postings")
-    asked = shared.select("s").distinct()
-    bits = part.filter("prefix is not null").select("s", "bits").join(asked, "s", "left_semi").dropDuplicates(["s"])
-    some = nodes.join(bits, "s").select("s", "n", "l", F.col("r.id").alias("id"), F.col("r.th").alias("th"), "bits")
-    some = materialise(some, "nodes")
-    posts = materialise(shared.join(some.select("s", "n", "l"), "s"), "postings")
-
-    stars = _stars(posts, 0, settings)
-    for r in range(1, STARS):
-        stars = stars.unionByName(_stars(posts, r, settings))
-    links = materialise(_links(_screened(stars.distinct(), some, settings), base, some, settings), "links")
-    known = connected_components(links, "a", "b")
-    more = materialise(_links(_crossing(posts, known, some, settings), base, some, settings), "links")
-    if more.limit(1).count():
-        known = connected_components(links.unionByName(more), "a", "b")
+    shared = spark.sparkContext.broadcast(heavy_shingles(base, settings))
+    whole = materialise(sets_of(base, settings, shared), "sets")
+    sets = materialise(whole.select("id", "th", "s", "n"), "rows")
+    some, met = candidates(whole, settings)
+    dropped(whole)
+    nodes = materialise(some.join(met.withColumnRenamed("id", "s"), "s"), "met")
+    cuts = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("cuts")).filter("cuts > 1")
+    cuts = materialise(cuts, "cuts")
+    texts = base.join(_small(nodes), ["id", "th"])
+    if sets.groupBy("id", "th").agg(F.count("*").alias("k")).filter("k > 1").limit(1).count():  # rows that repeat id and text
+        texts = texts.dropDuplicates(["s"])
+    rows = _in_blocks(texts.select("component", "s", "n", "t"), "component", cuts)
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (nodes.agg(F.sum("n")).first()[0] or 0) // 2_000_000)
+    rows = rows.repartition(width, "component", "i", "j").sortWithinPartitions("component", "i", "j", "n", "s")
+    found = rows.select("component", "i", "j", "own", "s", "t").mapInArrow(_verify(settings, shared, count), "a long, b long, k long")
+    found = materialise(found, "links")
+    known = connected_components(found.filter("k is null"), "a", "b")
     out = _labelled(sets, known)
-    if not count:
-        return out.drop("s")
-    n = _n_links(known, base, some, settings)
-    return out.join(n, "s", "left").select("id", "th", "n_shingles", "component_id", F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
-
-
-def _n_links(known: DataFrame, base: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
-    """s, n_links for the nodes of components. Pairs are looked at inside (component, two blocks of its sets) and never made."""
-    nodes = materialise(some.select("s", "n", "id", "th").join(known.select(F.col("id").alias("s"), F.col("component").alias("c")), "s"), "linked")
-    full = materialise(_full_sets(base, nodes.select("s", "id", "th"), settings), "full")
-    cuts = nodes.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("cuts"))
-    q = nodes.select("s", "n", "c").join(cuts, "c").withColumn("own", F.pmod(F.xxhash64("s"), F.col("cuts")).cast("int"))
-    r = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", "n")
-    r = r.join(full, "s").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "n", "s")
-    counted = r.select("c", "i", "j", "own", "s", "set").mapInArrow(_by_group(("c", "i", "j"), lambda t, at: _counted_links(t, at, settings)), "s long, k long")
-    return materialise(counted.groupBy("s").agg(F.sum("k").alias("n_links")), "counts")
-
-
-def _counted_links(t: pa.Table, cuts: np.ndarray, settings: Settings) -> Iterator[pa.RecordBatch]:
-    """s, k: similar sets of each set in its group; groups are sorted by size."""
-    i, j, own, s = (t.column(c).to_numpy() for c in ("i", "j", "own", "s"))
-    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("set")]
-    k = np.zeros(len(s), np.int64)
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        n = np.array([len(x) for x in sets[lo:hi]])
-        begin = np.append(0, np.cumsum(n))
-        token, ids = np.unique(np.concatenate(sets[lo:hi]), return_inverse=True)
-        ends, has = np.searchsorted(n, n * 100 // settings.percent, "right"), np.zeros(len(token), np.uint8)
-        for x in range(hi - lo - 1):
-            e = ends[x]
-            if e <= x + 1:
-                continue
-            mine = ids[begin[x] : begin[x + 1]]
-            has[mine] = 1
-            both = np.add.reduceat(has[ids[begin[x + 1] : begin[e]]], begin[x + 1 : e] - begin[x + 1], dtype=np.int64)
-            has[mine] = 0
-            on = 100 * both >= settings.percent * (n[x] + n[x + 1 : e] - both)
-            if i[lo] != j[lo]:
-                on &= own[lo + x + 1 : lo + e] != own[lo + x]
-            k[lo + x] += on.sum()
-            k[lo + x + 1 : lo + e] += on
-    yield pa.RecordBatch.from_arrays([pa.array(s[k > 0]), pa.array(k[k > 0])], ["s", "k"])
-
-
-def _full_sets(base: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
-    """s, set of the nodes that share a posting, computed again from one text each."""
-    reps = materialise(some, "asked")
-    if reps.count() <= BROADCAST_ROWS:
-        reps = F.broadcast(reps)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("s"), pa.array([shingles(t.as_py(), known, settings.words).tobytes() for t in b.column("t")], pa.binary())], ["s", "set"])
-
-    return base.join(reps, ["id", "th"]).select("s", "t").mapInArrow(run, "s long, set binary").groupBy("s").agg(F.first("set").alias("set"))
-
-
-def _sized(settings: Settings):
-    return 100 * F.least("n", "n2") >= settings.percent * F.greatest("n", "n2")
-
-
-def _with_labels(posts: DataFrame, known: DataFrame) -> DataFrame:
-    """Postings with their node's component; those of shingles whose nodes are all in one component are dropped."""
-    lab = posts.join(known.withColumnRenamed("id", "s"), "s", "left").select(*posts.columns, F.coalesce("component", "s").alias("c"))
-    open_ = lab.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("token")
-    return lab.join(open_, "token")
-
-
-def _stars(posts: DataFrame, r: int, settings: Settings) -> DataFrame:
-    """A pair for each node at most: with the leader that shares most postings with it."""
-    key = F.struct(F.xxhash64("s", F.lit(r)).alias("k"), F.col("s").alias("s"), F.col("n").alias("n"), F.col("l").alias("l"))
-    lead = posts.groupBy("token").agg(F.min(key).alias("a"))
-    near = posts.join(lead, "token").filter("a.s <> s").withColumn("n2", F.col("a.n")).filter(_sized(settings))
-    counted = near.groupBy("s", F.col("a.s").alias("a")).agg(F.count("*").alias("k"), F.min(F.least("l", "a.l")).alias("need")).filter("k >= need")
-    return counted.groupBy("s").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", F.col("s").alias("b"))
-
-
-def _crossing(posts: DataFrame, known: DataFrame, some: DataFrame, settings: Settings) -> DataFrame:
-    """All pairs of different components whose prefixes share enough and whose bitmaps allow it.
-
-    Pairs are looked at inside the postings of a shingle, by size and bitmap, and only those that pass are given out. The
-    postings of a shingle that many sets have are cut into blocks of BLOCK; a task holds two blocks at most.
-    """
-    p = materialise(_with_labels(posts, known), "open")
-    k = p.groupBy("token").agg(F.count("*").alias("k"))
-    q = p.join(k, "token").withColumn("cuts", F.ceil(F.col("k") / BLOCK).cast("int"))
-    q = q.withColumn("own", F.pmod(F.xxhash64("s"), F.col("cuts")).cast("int"))
-    r = q.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", "n", "l", "c")
-    r = r.join(some.select("s", "bits"), "s").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "s")
-    near = r.select("token", "i", "j", "own", "s", "n", "l", "c", "bits").mapInArrow(_within(settings), "a long, b long, need int")
-    return near.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("need").alias("need")).filter("k >= need").select("a", "b")
-
-
-def _within(settings: Settings):
-    return _by_group(("token", "i", "j"), lambda t, cuts: _pairs_of(t, cuts, settings))
-
-
-def _by_group(columns: tuple[str, ...], f):
-    """f(table, cuts) on whole groups of rows that follow each other with equal columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            keys = np.stack([t.column(c).to_numpy() for c in columns])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            if len(cuts):
-                yield from f(t.slice(0, int(cuts[-1])), np.append(0, cuts))
-                rest = t.slice(int(cuts[-1]))
-            else:
-                rest = t
-        if rest is not None:
-            yield from f(rest, np.array([0, rest.num_rows]))
-
-    return run
-
-
-def _pairs_of(t: pa.Table, cuts: np.ndarray, settings: Settings) -> Iterator[pa.RecordBatch]:
-    cols = {c: t.column(c).to_numpy() for c in ("i", "j", "own", "s", "n", "l", "c")}
-    bits = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("bits")]
-    a, b, need = [], [], []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        x = {c: v[lo:hi] for c, v in cols.items()}
-        for i, j in _similar_in(x, bits[lo:hi], settings):
-            a.append(np.minimum(x["s"][i], x["s"][j]))
-            b.append(np.maximum(x["s"][i], x["s"][j]))
-            need.append(np.minimum(x["l"][i], x["l"][j]))
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(need), pa.int32())], ["a", "b", "need"])
-
-
-def _similar_in(x: dict[str, np.ndarray], bits: list[np.ndarray], settings: Settings) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, places behind it) of pairs in one group, sorted by size, that sizes, components and bitmaps allow."""
-    n, c, own = x["n"].astype(np.int64), x["c"], x["own"]
-    if (c == c[0]).all():
-        return
-    width = np.array([len(v) for v in bits])
-    folded: dict[int, np.ndarray] = {}
-    ends = np.searchsorted(n, n * 100 // settings.percent, "right")
-    for i in range(len(n) - 1):
-        j = np.arange(i + 1, ends[i])
-        j = j[(c[j] != c[i]) & (own[j] != own[i] if x["i"][0] != x["j"][0] else True)]
-        if not len(j):
-            continue
-        w = int(width[i])
-        if w not in folded:  # sizes of similar sets differ by a quarter, so widths by one halving at most
-            m = folded[w] = np.zeros((len(n), w), np.uint64)
-            for k in np.flatnonzero((width == w) | (width == 2 * w)):
-                m[k] = bits[k] if width[k] == w else bits[k][:w] | bits[k][w:]
-        y, z = folded[w][i], folded[w][j]
-        both = np.minimum(n[i] - np.bitwise_count(y & ~z).sum(1, dtype=np.int64), n[j] - np.bitwise_count(z & ~y).sum(1, dtype=np.int64))
-        j = j[100 * both >= settings.percent * (n[i] + n[j] - both)]
-        if len(j):
-            yield i, j
+    if count:
+        n = found.filter("k is not null").groupBy(F.col("a").alias("s")).agg(F.sum("k").alias("n_links"))
+        out = out.join(n, "s", "left").withColumn("n_links", F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))))
+    dropped(some, met, nodes, cuts)
+    return out.drop("s")
 
 
 def _labelled(sets: DataFrame, known: DataFrame) -> DataFrame:
@@ -452,14 +452,11 @@ def _labelled(sets: DataFrame, known: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs, its columns, with one row of each component: the smallest doc_id's. Rows without words or id stay."""
     found = materialise(components(docs, settings), "components")
-    drop = found.filter("component_id is not null and component_id <> id").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
-    if drop.count() <= BROADCAST_ROWS:
-        drop = F.broadcast(drop)
-    out = docs.join(drop, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    drop = _small(found.filter("component_id is not null and component_id <> id").select("id", "th").distinct())
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
+    out = rows.join(drop, ["id", "th"], "left_anti")
     again = found.filter("n_shingles > 0 and id is not null").groupBy("id", "component_id").agg(F.count("*").alias("k")).filter("k > 1 and id = component_id")
     if again.limit(1).count():  # a kept id has several rows: one stays
-        twice = again.select(F.col("id").alias("_id"))
-        some = docs.columns
-        rest = out.join(twice, F.col("doc_id") == F.col("_id"), "left_anti")
-        return rest.unionByName(out.join(twice, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])).select(*some)
-    return out
+        twice = again.select("id")
+        out = out.join(twice, "id", "left_anti").unionByName(out.join(twice, "id", "left_semi").dropDuplicates(["id"]))
+    return out.select("row.*")

@@ -50,9 +50,9 @@ def corpus(seed):
 @pytest.mark.parametrize(("seed", "block"), [(1, 2_000), (2, 5)])
 def test_like_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "STARS", 1)
+    monkeypatch.setattr(jaccard, "HOT", 5)
     rows = corpus(seed)
-    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, s string").repartition(3)
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, _id string").repartition(3)
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(df).collect()}
     want = brute(rows)
     assert got == want
@@ -76,6 +76,7 @@ def test_prefixes_share_enough():
         if 100 * both >= 80 * (len(x) + len(y) - both):
             (lx, px), (ly, py) = jaccard.prefix(x, heavy, df, s), jaccard.prefix(y, heavy, df, s)
             assert len(np.intersect1d(px, py)) >= min(lx, ly)
+            assert len(np.intersect1d(np.concatenate(jaccard.meeting(x, heavy, df, s)), np.concatenate(jaccard.meeting(y, heavy, df, s))))
             assert jaccard.possible(jaccard.bitmap(x), len(x), jaccard.bitmap(y), len(y), 80)
 
 
