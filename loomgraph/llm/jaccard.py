@@ -318,7 +318,7 @@ def _forest(settings: Settings):
 
 
 def candidates(sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """s, n, id, th of the sets that meet others; and id, component: what may be linked with it."""
+    """s, n, id, th of the sets that meet others; and id, component: what may be linked with it. The table sets is deleted."""
     spark = sets.sparkSession
     part = sets.filter("tokens is not null and id is not null and s is not null")
     size = part.agg(F.sum(F.size("tokens"))).first()[0] or 0
@@ -328,6 +328,7 @@ def candidates(sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFram
     posts = materialise(cold.unionByName(hot), "postings")
     some = part.join(posts.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("id", "th")).alias("r"), F.max("n").alias("n"), F.first("bits").alias("bits"))
     some = materialise(some.select("s", "n", F.col("r.id").alias("id"), F.col("r.th").alias("th"), "bits"), "nodes")
+    dropped(sets)
     cuts = materialise(posts.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts")).filter("cuts > 1"), "cuts")
     rows = _in_blocks(posts, "token", cuts).join(some.select("s", "n", "bits"), "s")
     rows = rows.repartition(max(width // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "s")
@@ -419,7 +420,6 @@ def _run(docs: DataFrame, settings: Settings, id_col: str, text_col: str, count:
     whole = materialise(sets_of(base, settings, shared), "sets")
     sets = materialise(whole.select("id", "th", "s", "n"), "rows")
     some, met = candidates(whole, settings)
-    dropped(whole)
     nodes = materialise(some.join(met.withColumnRenamed("id", "s"), "s"), "met")
     cuts = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("cuts")).filter("cuts > 1")
     cuts = materialise(cuts, "cuts")
