@@ -43,7 +43,20 @@ def test_stops_on_proof():
 
 
 def test_empty_and_large(spark):
-    df = spark.createDataFrame([(1, [1e9]), (2, [1.0])], "vec_id long, embedding array<double>")
+    rows = [(1, [1e6, 3.0]), (2, [1.0, -7e5]), (3, [2e4, 2e4]), (4, [1e6, 3.0 + 2**-6]), (5, [-1e6, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, df, 3).collect()}
+    want = brute(rows, {1, 2, 3, 4, 5}, 3)
+    assert got == {(q, r): (j, s) for q, x in want.items() for r, j, s in x}
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
-    with pytest.raises(Exception, match="or more"):
-        topk.top_k(df, df).collect()
+    far = spark.createDataFrame([(1, [1e20]), (2, [1e20])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond the range"):
+        topk.top_k(far, far).collect()
+
+
+def test_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.filter("vec_id = 20")).orderBy("rank").collect()]
+    one = 64 * 64
+    assert got == [(1, 1, 3 * one), (2, 1, 3 * one), (3, 2, 2 * one), (4, 1, one), (5, 1, one), (6, 2, 0)]
