@@ -14,7 +14,8 @@ texts hold is no hot key. Offsets are code points, the end exclusive.
 
 Edge cases: a null text is empty and stays null in `sanitise`; matches that fail their kind's test are dropped without
 retry; overlapping spans of several kinds all count, and the sanitised text has one placeholder for a run of overlapping
-ones; repeated rows and null ids are judged each; an empty table gives an empty result; clashing column names stay.
+ones; repeated rows and null ids are judged each; an empty table gives an empty result; columns whose names
+the operator uses itself stay, but for _base and _spans, which `find` replaces.
 """
 
 from __future__ import annotations
@@ -190,10 +191,10 @@ def disclosing(docs: DataFrame, spanned: DataFrame, s: Settings = Settings()) ->
     return own.unionByName(wide.join(bad, key).select("h", "t", "level")).groupBy("h", "t").agg(F.max("level").alias("level"))
 
 
-def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs (with text) and the columns _base and _spans (SPAN; the value of a term is its level)."""
-    if "_base" in docs.columns or "_spans" in docs.columns:
-        raise ValueError("the columns _base and _spans are in use")
+def _found(docs: DataFrame, s: Settings) -> DataFrame:
+    """row (a struct of the columns other than text), text, _base and _spans of each row of docs."""
+    others = [docs[f"`{c}`"] for c in docs.columns if c != "text"] or [F.lit(0).alias("none")]
+    docs = docs.select(F.struct(*others).alias("row"), "text")
     marked = docs.withColumn("_base", base_spans(F.col("text")))
     some = materialise(marked.filter(F.size("_base") > 0), "spanned")
     none = F.array().cast(SPAN)
@@ -208,8 +209,17 @@ def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     raw = F.when(F.col("_terms").isNotNull(), matches(F.col("text"), pattern, 4)).otherwise(F.array().cast(SPAN))
     clear = F.filter(raw, lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     named = F.transform(clear, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.coalesce(F.try_element_at(levels, F.lower(m["value"])), F.lit(1)).cast("string").alias("value")))
-    done = joined.withColumn("_spans", F.array_sort(F.concat("_base", named))).select(*docs.columns, "_base", "_spans")
-    return rest.select(*docs.columns, "_base", "_spans").unionByName(done)
+    done = joined.withColumn("_spans", F.array_sort(F.concat("_base", named)))
+    return rest.unionByName(done.select("row", "text", "_base", "_spans"))
+
+
+def _column(c: str) -> Column:
+    return (F.col("text") if c == "text" else F.col("row").getField(c)).alias(c)
+
+
+def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """docs (with text) and the columns _base and _spans (SPAN; the value of a term is its level), in place of any of these names."""
+    return _found(docs, s).select(*[_column(c) for c in docs.columns if c.lower() not in ("_base", "_spans")], "_base", "_spans")
 
 
 def _text_of(spans: Column) -> Column:
@@ -245,8 +255,8 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs, its columns, with the text sanitised (and n_chars, where there, counted anew)."""
-    found = find(docs, s)
-    out = found.withColumn("text", sanitised(F.col("text"), F.col("_spans")))
+    new = {"text": sanitised(F.col("text"), F.col("_spans")).alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        n = F.when(F.size("_spans") > 0, F.char_length(new["text"])).otherwise(_column("n_chars"))
+        new["n_chars"] = n.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return _found(docs, s).select(*[new.get(c, _column(c)) for c in docs.columns])

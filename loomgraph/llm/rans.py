@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from loomgraph.llm.common import tidy
 from loomgraph.storage import materialise, new_path, release
 
 MAGIC = b"LGR1"
@@ -177,7 +178,7 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 450_000):
         self.core = Tokenizer.from_file(path)
-        self.core.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.core.get_added_tokens_decoder().values()]  # the library cuts texts at their strings
         self.code = "H" if self.core.get_vocab_size() <= 1 << 16 else "I"
         self.shown = str.maketrans({chr(b): c for b, c in _STAND_INS.items()})
         self.most, self.first, self.later = most, _Known(self, ""), _Known(self, " ")
@@ -193,7 +194,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.plain.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.plain.search(text) or any(t in text for t in self.added):
             return self.whole(text)
         first, later, out = self.first.__getitem__, self.later.__getitem__, []
         for line in text.split("\n"):
@@ -244,7 +245,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id"
             ids = [enc(t.as_py()) + end for t in b.column("t")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(tidy(run), "doc_id long, n long, ids binary")
 
 
 def _kind(vocabulary: int) -> str:
@@ -263,7 +264,7 @@ def count(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "k"])
 
     out = np.zeros(vocabulary, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, k long").groupBy("id").agg(F.sum("k").alias("k")).toArrow().to_batches():
+    for r in tokens.select("ids").mapInArrow(tidy(run), "id long, k long").groupBy("id").agg(F.sum("k").alias("k")).toArrow().to_batches():
         out[r.column("id").to_numpy()] = r.column("k").to_numpy()
     return out
 
@@ -295,7 +296,7 @@ def write(tokens: DataFrame, f: np.ndarray, path: str) -> None:
             yield segment()
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(run, LAYOUT).write.parquet(f"{path}/segments")
+    ordered.mapInArrow(tidy(run), LAYOUT).write.parquet(f"{path}/segments")
     spark.createDataFrame([(SCALE, f.astype("<u4").tobytes())], "scale int, frequencies binary").write.parquet(f"{path}/table")
 
 
@@ -330,7 +331,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(tidy(run), schema)
 
 
 def encode(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:

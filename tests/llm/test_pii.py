@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -52,6 +53,67 @@ def told(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, spans string")
 
 
+def plain_spans(texts, s):
+    """All spans of each text, counted one by one."""
+    base = {t: [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in brute(t).split(",") if x] for t in set(texts) if t is not None}
+    word = re.compile(r"[^\W_]+")
+    n, holds, ents, near = len(base), {}, {}, {}
+    for t, spans in base.items():
+        for w in set(word.findall(t.lower())):
+            holds[w] = holds.get(w, 0) + 1
+        free = {m[0].lower() for m in word.finditer(t) if all(m.end() < a or b < m.start() for _, a, b in spans)}
+        mine = {(k, re.sub("[^0-9]", "", t[a:b]) if k in ("card", "phone") else t[a:b].lower()) for k, a, b in spans}
+        for e in mine:
+            ents.setdefault(e, set()).add(t)
+            for w in free:
+                near.setdefault((e, w), set()).add(t)
+    bad = {}
+    for (e, w), at in near.items():
+        n_e, n_t, n_et = len(ents[e]), holds[w], len(at)
+        x, ic = n_e * n_t / n, math.log2(n / n_e)
+        if ic > 0 and math.log2(n * n_et / (n_e * n_t)) >= s.alpha * ic - 1e-12 and n_et * math.log(n_et / x) - n_et + x >= -math.log(s.chance):
+            for t in at:
+                bad.setdefault(t, set()).add(w)
+    out = []
+    for t in texts:
+        spans = list(base.get(t, []))
+        spans += [("term", m.start(), m.end()) for m in word.finditer(t or "") if m[0].lower() in bad.get(t, ()) and all(m.end() <= a or b <= m.start() for _, a, b in base[t])]
+        out.append(",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda x: (x[1], pii.KINDS.index(x[0])))))
+    return out
+
+
+@pytest.mark.parametrize("alpha", [0.8, 0.5])
+def test_terms_like_a_plain_count(spark, alpha):
+    rng = random.Random(7)
+    people = [(f"Nam{i} Sur{i % 3}", f"p{i}@host.org" if i % 2 else f"+1 (523) 555-10{i:02}") for i in range(12)]
+    common = [f"w{i}" for i in range(30)]
+    texts = []
+    for i in range(400):
+        t = rng.choices(common, k=rng.randrange(4, 12))
+        if i % 5 == 0:
+            name, mark = people[min(11, int(rng.expovariate(0.4)))]
+            t += [name, rng.choice(["by", "of,"]), mark] if i % 15 else [mark, "and", people[i % 12][1]]
+        texts.append(" ".join(t))
+    texts += [None, "", texts[0], texts[5], "Only Zed at z@z.zz and Zed", "Zed z@z.zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    s = pii.Settings(alpha=alpha)
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(docs, s)).collect()}
+    want = plain_spans(texts, s)
+    assert sum("term" in x for x in want) > 20
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_clashing_names(told):
+    names = {"_h": "x1", "_terms": "x2", "_base": "x3", "_spans": "x4", "row": "x5", "h": "x6", "t": "x7", "n_e": "x8"}
+    docs = told.withColumns({k: pii.F.lit(v) for k, v in names.items()})
+    got = pii.sanitise(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert len(rows) == told.count() and all(r[k] == v for r in rows for k, v in names.items())
+    assert sorted(r["text"] or "" for r in rows) == sorted(r["text"] or "" for r in pii.sanitise(told).collect())
+    assert [c for c in pii.find(docs).columns if c in names] == ["_h", "_terms", "row", "h", "t", "n_e", "_base", "_spans"]
+
+
 def test_terms_that_disclose(told):
     out = {r["doc_id"]: r["text"] for r in pii.sanitise(told, pii.Settings(alpha=0.6)).collect()}
     assert "Zorro" not in out[0] and "[PHONE]" in out[0] and "555" not in out[0]

@@ -38,7 +38,6 @@ def test_frequencies():
 
 def test_words_like_whole_texts():
     enc, lib = rans.Encoder(PATH), Tokenizer.from_file(PATH)
-    lib.encode_special_tokens = True
     rng = random.Random(2)
     pieces = ["a", " b", " 's", "'re", "\n", "  ", " ", "Éta", "ñ9", "12", "!?", "日本", "\t", " ", "<|endoftext|>", "…", "x\ny", "Été,", "no.", "ab***", "²", "a²,"]
     for _ in range(500):
@@ -46,6 +45,10 @@ def test_words_like_whole_texts():
         assert np.frombuffer(enc(text), "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_special_strings_as_the_library_gives_them():
+    assert np.frombuffer(rans.Encoder(PATH)("a <|endoftext|> b"), "<u2").tolist() == Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_files(spark, monkeypatch):
     monkeypatch.setattr(rans, "SEGMENT", 300)
     rows = [(i * 7 % 101, f"Word {i} and\nmore é{i}", "x") for i in range(101)] + [(None, "null id", "x"), (5000, None, "x"), (5001, "", "x"), (7, "again 7", "x"), (7, "again 7", "x"), (9000, "long " * 5000, None)]
