@@ -7,7 +7,8 @@ the overlap that both have; where an overlap has none, it is doubled. Each stitc
 boundaries of the whole text and is encoded by itself. Decoding concatenates the ids' raw bytes.
 
 Edge cases: a null text is empty and has no ids; a text without any boundary to stitch at is one piece; repeated rows are
-encoded each; an empty table gives an empty result; further columns are left alone.
+encoded each; an empty table gives an empty result; further columns are left alone, but for one named like a result's, which
+the result replaces.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.common import slices, tidy
+
 #: Characters of a chunk and of an overlap. Shorter texts are one chunk.
 CHUNK, OVERLAP = 16_384, 256
 #: Chunks whose scans run side by side in one task.
@@ -79,11 +82,15 @@ class Codec:
             own, origin = {b for b in other if b >= at}, at
         return out
 
-    @staticmethod
-    def meet(text: str, a: set[int], b: set[int], lo: int, hi: int) -> int | None:
-        """The first boundary that both scans have. Only ASCII neighbours count: on these all regex engines agree. White space
-        before a piece's end would be cut otherwise without the text that follows it."""
-        fit = lambda x: x == len(text) or (text[x].isascii() and text[x - 1].isascii() and not text[x - 1].isspace())
+    # ASCII, and blocks without gaps whose characters have had the same classes since Unicode 3: on these all regex engines agree.
+    agreed = regex.compile(r"[\x00-\x7F\u00A1-\u024F\u0410-\u044F\u3001-\u3003\u3008-\u3011\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3\uFF01-\uFF5E]")
+
+    @classmethod
+    def meet(cls, text: str, a: set[int], b: set[int], lo: int, hi: int) -> int | None:
+        """The first boundary that both scans have between characters on whose classes regex engines agree. White space before a
+        piece's end would be cut otherwise without the text that follows it."""
+        sure = cls.agreed.match
+        fit = lambda x: x == len(text) or (sure(text[x]) and sure(text[x - 1]) and not text[x - 1].isspace())
         return min((x for x in a & b if lo < x <= hi and fit(x)), default=None)
 
     def encode(self, text: str | None) -> list[int]:
@@ -111,40 +118,40 @@ def codec(path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -
     return _codecs[key]
 
 
-def _parts(b: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """A batch in small parts, so that a task holds few texts' ids."""
-    for at in range(0, b.num_rows, rows):
-        yield b.slice(at, rows)
-
-
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs, with text_col replaced by its ids (array<int>) under out_col."""
-    keep = [c for c in docs.columns if c not in (text_col, out_col)]
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """docs, with text_col replaced by its ids (array<int>) under out_col and, if asked for, the bytes decoded from them under decoded_col."""
+    keep = [c for c in docs.columns if c.lower() not in {text_col.lower(), out_col.lower(), (decoded_col or out_col).lower()}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
-            for part in _parts(b):
-                ids = pa.array([np.array(c.encode(t.as_py()), np.int32) for t in part.column(text_col)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], ids], [*keep, out_col])
-
-    schema = docs.select(*keep).schema.add(out_col, T.ArrayType(T.IntegerType()))
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+        for part in slices(batches):
+            found = [c.encode(t.as_py()) for t in part.column("text")]
+            cols, names = [part.column(i) for i in range(len(keep))], [*keep, out_col]
+            cols.append(pa.array([np.array(x, np.int32) for x in found], pa.list_(pa.int32())))
+            if decoded_col:
+                cols.append(pa.array(map(c.decode, found), pa.binary()))
+                names.append(decoded_col)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    kept = [docs[f"`{c}`"] for c in keep]
+    schema = docs.select(*kept).schema.add(out_col, T.ArrayType(T.IntegerType()))
+    if decoded_col:
+        schema = schema.add(decoded_col, T.BinaryType())
+    return docs.select(*kept, F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded, with ids_col replaced by the raw bytes (binary) under out_col; null ids give null."""
-    keep = [c for c in encoded.columns if c not in (ids_col, out_col)]
+    keep = [c for c in encoded.columns if c.lower() not in (ids_col.lower(), out_col.lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
-            for part in _parts(b):
-                raw = pa.array([c.decode(i.values.to_pylist()) if i.is_valid else None for i in part.column(ids_col)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], raw], [*keep, out_col])
+        for part in slices(batches):
+            raw = pa.array([c.decode(i.values.to_pylist()) if i.is_valid else None for i in part.column(ids_col)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], raw], [*keep, out_col])
 
     schema = encoded.select(*keep).schema.add(out_col, T.BinaryType())
-    return encoded.select(*keep, ids_col).mapInArrow(run, schema)
+    return encoded.select(*keep, ids_col).mapInArrow(tidy(run), schema)
 
 
 def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,4 +169,4 @@ def digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,13 +1,13 @@
-"""What the operators share: Arrow column access, words, hashes and the benchmark's size check."""
+"""What the operators share: words, hashes and memory given back."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
 
 #: The six ASCII characters that separate words in the contracts' `[^\x20\x09-\x0D]+`.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -35,19 +35,35 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, so that a task holds what it makes of few texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = f(batch)
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-    return df.mapInArrow(run, schema)
+_libc: list = []
 
 
-def without(columns: list[str], names: list[str]) -> list[str]:
-    """The columns whose names do not clash with names (case does not count, as in Spark)."""
-    low = {n.lower() for n in names}
-    return [c for c in columns if c.lower() not in low]
+def give_back() -> None:
+    """Return memory that the allocators keep to the system: workers outlive their tasks and go from operator to operator."""
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _libc.append(lambda _: 0)
+    _libc[0](0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; when a task begins and ends, memory goes back to the system."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied

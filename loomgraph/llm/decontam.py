@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import tidy
 from loomgraph.storage import materialise
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -127,7 +128,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str | None]], window: int, id_
                 ["doc_id", "n_words", "hits", "spans", "items"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA.format(kind=kind))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(tidy(run), SCHEMA.format(kind=kind))
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
@@ -180,7 +181,7 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs without any hit, with their columns: a filter for each block of the benchmark, no shuffle."""
     for block in blocks(benchmark.filter(F.col("item_id").isNotNull()), "item_id", "text"):
-        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(block), hashlib.sha256(repr((block, window)).encode()).digest(), window), docs.schema)
+        docs = docs.mapInArrow(tidy(_filter(docs.sparkSession.sparkContext.broadcast(block), hashlib.sha256(repr((block, window)).encode()).digest(), window)), docs.schema)
     return docs
 
 

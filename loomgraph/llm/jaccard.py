@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WordHashes, lower_words
+from loomgraph.llm.common import WordHashes, lower_words, slices, tidy
 from loomgraph.operators.components import connected_components
 from loomgraph.storage import dropped, materialise
 
@@ -42,8 +42,8 @@ LOCAL, HEAVY = 2, 400_000
 HOT = 5_000
 #: The largest l.
 MOST_MATCHES = 8
-#: Shingles in which a task counts repeats at once, and texts whose sets it holds at once.
-CHUNK, ROWS = 4_000_000, 500
+#: Shingles in which a task counts repeats at once.
+CHUNK = 4_000_000
 #: Sets of a block of a shingle's postings or of a component.
 BLOCK = 2_000
 #: Shingles of a block of a component's sets (8 bytes each; a task holds two blocks).
@@ -162,25 +162,19 @@ def heavy_shingles(docs: DataFrame, settings: Settings) -> tuple[np.ndarray, np.
                 seen, sets, size = set(), [], 0
         yield _counted(sets)
 
-    sums = docs.select("th", "t").mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
+    sums = docs.select("th", "t").mapInArrow(tidy(run), "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
     top = sums.orderBy(F.desc("k"), "h").limit(HEAVY).toArrow()
     h, k = top.column("h").to_numpy().view(np.uint64), top.column("k").to_numpy().astype(float)
     o = np.argsort(h)
     return h[o], k[o]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            yield b.slice(at, ROWS)
-
-
 def sets_of(docs: DataFrame, settings: Settings, shared) -> DataFrame:
     """id, th (the text's hash), s (the set's id), n, tokens and hot (where the set meets others), bits; the last three of a set that repeats in a task are given once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (heavy, df), seen = WordHashes(), shared.value, set()
-        for b in _slices(batches):
+        for b in slices(batches):
             ids, n, tokens, hot, bits = [], [], [], [], []
             for t in b.column("t"):
                 x = shingles(t.as_py(), known, settings.words)
@@ -196,7 +190,7 @@ def sets_of(docs: DataFrame, settings: Settings, shared) -> DataFrame:
             long = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, long), pa.array(hot, long), pa.array(bits, pa.binary())], ["id", "th", "s", "n", "tokens", "hot", "bits"])
 
-    return docs.mapInArrow(run, "id long, th long, s long, n long, tokens array<long>, hot array<long>, bits binary")
+    return docs.mapInArrow(tidy(run), "id long, th long, s long, n long, tokens array<long>, hot array<long>, bits binary")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +317,7 @@ def candidates(sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFram
     part = sets.filter("tokens is not null and id is not null and s is not null")
     size = part.agg(F.sum(F.size("tokens"))).first()[0] or 0
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 2_000_000)
-    cold = part.select("s", F.explode("tokens").alias("token")).repartition(width, "token").mapInArrow(_shared, "token long, s long")
+    cold = part.select("s", F.explode("tokens").alias("token")).repartition(width, "token").mapInArrow(tidy(_shared), "token long, s long")
     hot = part.filter("hot is not null").select(F.explode("hot").alias("token"), "s").distinct()
     posts = materialise(cold.unionByName(hot), "postings")
     some = part.join(posts.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct("id", "th")).alias("r"), F.max("n").alias("n"), F.first("bits").alias("bits"))
@@ -332,7 +326,7 @@ def candidates(sets: DataFrame, settings: Settings) -> tuple[DataFrame, DataFram
     cuts = materialise(posts.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts")).filter("cuts > 1"), "cuts")
     rows = _in_blocks(posts, "token", cuts).join(some.select("s", "n", "bits"), "s")
     rows = rows.repartition(max(width // 4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "s")
-    edges = materialise(rows.select("token", "i", "j", "own", "s", "n", "bits").mapInArrow(_forest(settings), "a long, b long"), "forests")
+    edges = materialise(rows.select("token", "i", "j", "own", "s", "n", "bits").mapInArrow(tidy(_forest(settings)), "a long, b long"), "forests")
     met = connected_components(edges, "a", "b")
     dropped(posts, cuts, edges)
     return some.drop("bits"), met
@@ -429,7 +423,7 @@ def _run(docs: DataFrame, settings: Settings, id_col: str, text_col: str, count:
     rows = _in_blocks(texts.select("component", "s", "n", "t"), "component", cuts)
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (nodes.agg(F.sum("n")).first()[0] or 0) // 2_000_000)
     rows = rows.repartition(width, "component", "i", "j").sortWithinPartitions("component", "i", "j", "n", "s")
-    found = rows.select("component", "i", "j", "own", "s", "t").mapInArrow(_verify(settings, shared, count), "a long, b long, k long")
+    found = rows.select("component", "i", "j", "own", "s", "t").mapInArrow(tidy(_verify(settings, shared, count)), "a long, b long, k long")
     found = materialise(found, "links")
     known = connected_components(found.filter("k is null"), "a", "b")
     out = _labelled(sets, known)

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import tidy
 from loomgraph.storage import materialise
 
 _MARK = re.compile(r"[ \t]*>")
@@ -105,7 +106,7 @@ def messages(conversations: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("copy"), b.column("role"), pa.array([x for x, _, _ in got], pa.string()), quoted, pa.array([o for _, _, o in got], pa.list_(pa.int64()))], ["conv_id", "turn", "copy", "role", "body", "quoted", "own"])
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), F.col("role").cast("string").alias("role"), "text")
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(tidy(run), SCHEMA)
 
 
 def _id(prefix: str = "") -> list[str]:

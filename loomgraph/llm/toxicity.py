@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import slices, tidy
 from loomgraph.llm.decontam import words
 from loomgraph.storage import dropped, materialise
 
@@ -231,10 +232,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     sample = materialise(taken.groupBy("id", "h").agg(F.bit_or("part").alias("part")), "sample")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("part"), pa.array([features(t.as_py()).view(np.int32) for t in b.column("t")], pa.list_(pa.int32()))], ["part", "f"])
 
-    rows = base.join(F.broadcast(sample), ["id", "h"]).dropDuplicates(["id", "h"]).select("part", "t").mapInArrow(featured, "part int, f array<int>")
+    rows = base.join(F.broadcast(sample), ["id", "h"]).dropDuplicates(["id", "h"]).select("part", "t").mapInArrow(tidy(featured), "part int, f array<int>")
     rows = materialise(rows, "features")
     n_p, n_u = (rows.filter(F.col("part").bitwiseAND(x) > 0).count() for x in (POSITIVE, UNLABELLED))
     if not n_p or not n_u:
@@ -247,11 +248,11 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     shared = spark.sparkContext.broadcast(chosen)
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             on = [np.flatnonzero(np.isin(shared.value, x.values.to_numpy().view(np.uint32))).astype("<u4").tobytes() for x in b.column("f")]
             yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(on, pa.binary())], ["part", "on"])
 
-    got = rows.mapInArrow(picked, "part int, on binary").toArrow()
+    got = rows.mapInArrow(tidy(picked), "part int, on binary").toArrow()
     model = fit([chosen[np.frombuffer(x.as_buffer(), "<u4")] for x in got.column("on")], got.column("part").to_numpy(), prior, s, chosen)
     dropped(sample, rows)
     return model
@@ -261,14 +262,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, score: the probability that the text is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(_scores(shared), f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(tidy(_scores(shared)), f"doc_id {kind}, score double")
 
 
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             g = np.array([logit(model, scorer, t.as_py()) for t in b.column("t")])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.probability(g), pa.float64())], ["doc_id", "score"])
 
@@ -282,8 +283,8 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scorer = Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             g = np.array([logit(model, scorer, t.as_py()) for t in b.column("text")])
             yield b.filter(pa.array(model.probability(g) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import tidy
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: As many rules are merged in one sweep at most, sent to each task; more rules are cut into key ranges of that size.
 RULES_PER_RANGE = 50_000
@@ -109,7 +111,7 @@ def judge(urls: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     base = base.withColumn("k", F.reverse(F.split("host", "[.]")))
     schema = f"{id_col} {kind}, host string, path string, rule string, verdict string"
     if len(known) <= RULES_PER_RANGE:
-        return base.sortWithinPartitions("k", "path").mapInArrow(_sweeper(known, id_col, default), schema)
+        return base.sortWithinPartitions("k", "path").mapInArrow(tidy(_sweeper(known, id_col, default)), schema)
     return _by_ranges(base, known, id_col, default, schema)
 
 
