@@ -40,8 +40,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and the text decoded from the ids."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
-    return bpe.decode(ids.withColumn("kept", F.col("ids")), path, pattern).select("doc_id", "lang", "source", F.size("kept").alias("n_tokens"), F.col("kept").alias("ids"), F.col("decoded").cast("string").alias("text"))
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, decoded_col="decoded")
+    return ids.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [
