@@ -21,7 +21,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, computed at the first look-up; emptied when it has grown to `most` words."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -35,7 +35,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[pa.RecordBatch]:
     """The batches in small parts, so that a task holds what it makes of few texts."""
     for b in batches:
         for at in range(0, b.num_rows, rows):

@@ -193,24 +193,23 @@ def _curve(g: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
     return float(ab[0] / sd), float(ab[1] - ab[0] * mean / sd)
 
 
-class Scorer(dict):
-    """word -> sum of its features' weights; emptied when it has grown to 200,000 words."""
+class Weighted(dict):
+    """word -> those of its features that have a weight; emptied when it has grown to 100,000 words."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.weights = model.weights
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) > 200_000:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) > 100_000:
             self.clear()
-        s = self[word] = sum(self.model.weights.get(f, 0.0) for f in features_of(word))
-        return s
+        f = self[word] = tuple(x for x in features_of(word) if x in self.weights)
+        return f
 
 
-def logit(model: Model, scorer: Scorer, text: str | None) -> float:
-    """As the fit sees a text: each distinct feature once. Words that have no weighted feature are passed over."""
-    hot = [w for w in set(words(text)) if scorer[w]]
-    return model.bias + sum(model.weights.get(f, 0.0) for f in {f for w in hot for f in features_of(w)})
+def logit(model: Model, known: Weighted, text: str | None) -> float:
+    """As the fit sees a text: each distinct feature once."""
+    return model.bias + sum(map(model.weights.__getitem__, set().union(*map(known.__getitem__, set(words(text))))))
 
 
 def learn_rows(id_col: Column) -> Column:
@@ -268,9 +267,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer = Scorer(model)
+        known = Weighted(model)
         for b in slices(batches):
-            g = np.array([logit(model, scorer, t.as_py()) for t in b.column("t")])
+            g = np.array([logit(model, known, t.as_py()) for t in b.column("t")])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.probability(g), pa.float64())], ["doc_id", "score"])
 
     return run
@@ -282,9 +281,9 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer = Scorer(model)
+        known = Weighted(model)
         for b in slices(batches):
-            g = np.array([logit(model, scorer, t.as_py()) for t in b.column("text")])
+            g = np.array([logit(model, known, t.as_py()) for t in b.column("text")])
             yield b.filter(pa.array(model.probability(g) < threshold, pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)
