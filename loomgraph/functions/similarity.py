@@ -28,14 +28,17 @@ def ratio(a: str | None, b: str | None) -> float | None:
     return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def partial(a: str | None, b: str | None) -> float | None:
-    """The best ratio of the shorter string with a window, of its length or cut by an end, of the longer."""
+def partial(a: str | None, b: str | None, least: float = 0) -> float | None:
+    """The best ratio of the shorter string with a window, of its length or cut by an end, of the longer; 0 where it cannot be
+    `least` or more, as no window has more in common with the shorter string than the longer one has."""
     if a is None or b is None:
         return None
     a, b = sorted((a, b), key=len)
     n = len(a)
     if not n:
         return 0.0 if b else 100.0
+    if least and (most := lcs(a, b)) * 200 < least * (n + most) - 1e-9:
+        return 0.0
     return max(ratio(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
 
 
@@ -53,4 +56,8 @@ def _column(f):
     return column
 
 
-ratio_column, partial_column, token_sort_column = _column(ratio), _column(partial), _column(token_sorted)
+def partial_column(a, b, least: float = 0):
+    return _column(lambda x, y: partial(x, y, least))(a, b)
+
+
+ratio_column, token_sort_column = _column(ratio), _column(token_sorted)

@@ -44,14 +44,24 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
 
 
-def part_combinations(parts: Column, most: int = 8) -> Column:
-    """All non-empty selections of up to `most` parts, order kept, joined by dots: 2**k - 1 strings.
+def file_name(text: Column) -> Column:
+    """A name that is safe for files: `#` and `/` become hyphens, white space underscores, other signs go."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[#/]", "-"), r"\s", "_"), "[^A-Za-z0-9_-]+", "")
 
-    A bit of a mask takes a part; longer lists are null, so that a row cannot grow without bound.
+
+#: A row gives 2**k - 1 selections of k parts; more parts than this are refused.
+MOST_PARTS = 20
+
+
+def part_combinations(parts: Column, most: int = MOST_PARTS) -> Column:
+    """All non-empty selections of the parts, order kept, joined by dots: 2**k - 1 strings. A bit of a mask takes a part.
+
+    A list of more than `most` parts raises an error, as its row would grow without bound.
     """
     n = F.size(parts)
     chosen = lambda m: F.array_join(F.filter(parts, lambda _, i: F.call_function("getbit", m, i) == 1), ".")
-    return F.when(n <= most, F.transform(F.sequence(F.lit(1).cast("long"), F.expr("1L").cast("long") * F.pow(F.lit(2), n).cast("long") - 1), chosen))
+    all_ = F.transform(F.sequence(F.lit(1).cast("long"), F.expr("1L").cast("long") * F.pow(F.lit(2), n).cast("long") - 1), chosen)
+    return F.when(n <= most, all_).otherwise(F.when(n > most, F.raise_error(F.concat(F.lit("too many parts: "), n.cast("string"))).cast("array<string>")))
 
 
 def token_sort(text: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from loomgraph.storage import materialise
+
 
 def average_rank(group: list[str], value: str) -> Column:
     """Descending rank; ties share the mean of their places, so a tied leader has 1.5 or more."""
@@ -17,6 +19,27 @@ def average_rank(group: list[str], value: str) -> Column:
     return F.rank().over(w) + (F.count("*").over(same) - 1) / 2.0
 
 
+def numbered(df: DataFrame, order: list[str], group: list[str] | None = None, name: str = "_n") -> DataFrame:
+    """df with name: the place, from 1, of each row in the order of a whole table, or of each group, however large.
+
+    Rows are dealt out by ranges of (group, order), so one group spreads over many tasks; a task numbers its own rows and adds
+    the counts of the ranges before. The dealt rows are written once, as ranges are drawn anew at each run.
+    """
+    by = group or []
+    dealt = materialise(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    counts = dealt.groupBy(*keys, F.col("_p").alias("_q")).agg(F.count("*").alias("_c"))  # a row for each task and group in it
+    named = [f"_g{i}" for i in range(len(by))]
+    before = Window.partitionBy(*named).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(*named, "_q", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    on = F.col("_p") == F.col("_q")
+    for c, g in zip(by, named, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(g))
+    placed = dealt.join(base, on).drop("_q", *named)
+    own = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order))
+    return placed.withColumn(name, (own + F.col("_s")).cast("long")).drop("_p", "_s")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -107,7 +130,8 @@ def sample_per_group(df: DataFrame, group: str, n: int, seed: str, ident: str) -
 
 def stratified_split(df: DataFrame, label: str, ident: str, held: float, seed: str) -> DataFrame:
     """df with split: within each label, by hash order, the last `held` share is halved into dev and test."""
-    w = Window.partitionBy(label).orderBy(hashed(seed, ident), ident)
-    n = F.count("*").over(Window.partitionBy(label))
-    part = (F.row_number().over(w) - 1) / n
-    return df.withColumn("split", F.when(part < 1 - held, "train").when(part < 1 - held / 2, "dev").otherwise("test"))
+    n = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_k"))
+    placed = numbered(df.withColumn("_h", hashed(seed, ident)), ["_h", ident], [label])
+    df = placed.join(F.broadcast(n) if n.count() <= 100_000 else n, F.col(label).eqNullSafe(F.col("_l")))
+    part = (F.col("_n") - 1) / F.col("_k")
+    return df.withColumn("split", F.when(part < 1 - held, "train").when(part < 1 - held / 2, "dev").otherwise("test")).drop("_h", "_n", "_l", "_k")

@@ -28,7 +28,7 @@ def tag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "vocabulary_diff",
     r"""
-    WITH b AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM benchmark), d AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE lang = 'en')
+    WITH b AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM benchmark), d AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS w FROM documents)
     SELECT w FROM b WHERE w NOT IN (SELECT w FROM d)
     """,
 )
@@ -36,7 +36,7 @@ def vocabulary_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of one text set that the other lacks: the large side is cut to the small side's words before it is reduced."""
     words = lambda df: df.select(F.explode(F.split(F.lower("text"), " ")).alias("w"))
     b = words(table(spark, sf_dir, "benchmark")).distinct()
-    d = words(table(spark, sf_dir, "documents").filter("lang = 'en'").select("text"))
+    d = words(table(spark, sf_dir, "documents").select("text"))
     return b.join(d.join(b, "w", "left_semi").distinct(), "w", "left_anti")
 
 
@@ -54,22 +54,22 @@ def eligible_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "alias_shortest",
-    "SELECT p_brand, first(p_name ORDER BY length(p_name), p_name) AS alias, CAST(min(length(p_name)) AS INTEGER) AS n FROM part WHERE p_size = 3 GROUP BY 1",
+    "SELECT p_brand, first(p_name ORDER BY length(p_name), p_name) AS alias, CAST(min(length(p_name)) AS INTEGER) AS n FROM part GROUP BY 1",
 )
 def alias_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shortest name of a group stands for it, ties by name."""
-    return table(spark, sf_dir, "part").filter("p_size = 3").groupBy("p_brand").agg(F.min_by("p_name", F.struct(F.char_length("p_name"), F.col("p_name"))).alias("alias"), F.min(F.char_length("p_name")).alias("n"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min_by("p_name", F.struct(F.char_length("p_name"), F.col("p_name"))).alias("alias"), F.min(F.char_length("p_name")).alias("n"))
 
 
 @query(
     "incident_edges",
     """
-    WITH e AS (SELECT DISTINCT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst FROM lineitem WHERE l_quantity > 45), k AS (SELECT src FROM e GROUP BY src HAVING count(*) > 40)
+    WITH e AS (SELECT DISTINCT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst FROM lineitem), k AS (SELECT src FROM e GROUP BY src HAVING count(*) > 40)
     SELECT e.src, e.dst FROM e WHERE src IN (SELECT src FROM k) AND dst IN (SELECT dst FROM e GROUP BY dst HAVING count(*) > 2)
     """,
 )
 def incident_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node-induced subgraph: both ends by degree, isolates gone."""
-    e = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).distinct()
+    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).distinct()
     big = lambda c, n: e.groupBy(c).agg(F.count("*").alias("k")).filter(F.col("k") > n).select(c)
     return e.join(big("src", 40), "src", "left_semi").join(big("dst", 2), "dst", "left_semi").select("src", "dst")

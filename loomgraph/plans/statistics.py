@@ -187,12 +187,12 @@ def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "class_share",
-    "WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, p_retailprice / n AS per FROM part JOIN c USING (p_type) WHERE n > 10 AND p_size < 10",
+    "WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, p_retailprice / n AS per FROM part JOIN c USING (p_type) WHERE n > 10",
 )
 def class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value divided by the size of its class."""
     p = table(spark, sf_dir, "part")
-    return p.filter("p_size < 10").join(p.groupBy("p_type").agg(F.count("*").alias("n")), "p_type").filter("n > 10").select("p_partkey", (F.col("p_retailprice") / F.col("n")).alias("per"))
+    return p.join(p.groupBy("p_type").agg(F.count("*").alias("n")), "p_type").filter("n > 10").select("p_partkey", (F.col("p_retailprice") / F.col("n")).alias("per"))
 
 
 @query("one_vs_rest_gbt")

@@ -135,7 +135,7 @@ def topn_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "gain_positions",
     """
-    WITH r AS (SELECT p_brand, p_partkey, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part WHERE p_size = 7)
+    WITH r AS (SELECT p_brand, p_partkey, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
     SELECT p_brand, max(v) FILTER (r = 1) AS first, coalesce(max(v) FILTER (r = 2), 0) AS second, coalesce(max(v) FILTER (r = 3), 0) AS third, coalesce(max(v) FILTER (r = n AND n >= 4), 0) AS last,
       max(p_partkey) FILTER (r = 1) AS leader FROM r GROUP BY 1
     """,
@@ -143,7 +143,7 @@ def topn_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gain_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First, second, third and last value of each group, defaults 0; the last only of four or more."""
     w = Window.partitionBy("p_brand")
-    r = table(spark, sf_dir, "part").filter("p_size = 7").select("p_brand", "p_partkey", F.col("p_retailprice").alias("v"), F.row_number().over(w.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("r"), F.count("*").over(w).alias("n"))
+    r = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("v"), F.row_number().over(w.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("r"), F.count("*").over(w).alias("n"))
     at = lambda c, d="v": F.max(F.when(c, F.col(d)))
     zero = lambda c: F.coalesce(at(c), F.lit(0.0))
     x = F.col("r")
@@ -152,24 +152,15 @@ def gain_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("round_robin", "SELECT s_suppkey, ['gpu0', 'gpu1', 'gpu2'][CAST((row_number() OVER (ORDER BY s_suppkey) - 1) % 3 AS INTEGER) + 1] AS device FROM supplier")
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Devices dealt out in turn. The running number comes from counts of key ranges, not from one global window."""
-    s = _numbered(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
+    """Devices dealt out in turn. The running number comes from counts of ranges, not from one global window."""
+    s = S.numbered(table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"])
     return s.select("s_suppkey", F.element_at(F.array(*map(F.lit, ("gpu0", "gpu1", "gpu2"))), F.pmod(F.col("_n") - 1, F.lit(3)).cast("int") + 1).alias("device"))
 
 
-def _numbered(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """df with _n, the place of a numeric key in the whole table: places within ranges of the key plus the counts of the ranges before."""
-    b = df.withColumn("_b", F.floor(F.col(key) / width))
-    counts = b.groupBy("_b").agg(F.count("*").alias("_c"))
-    base = counts.withColumn("_s", F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-    own = b.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    return own.join(base.select("_b", F.coalesce("_s", F.lit(0)).alias("_s")), "_b").withColumn("_n", F.col("_r") + F.col("_s")).drop("_b", "_r", "_s")
-
-
 @query("batch_split", "SELECT o_orderkey, CAST(ntile(500) OVER (ORDER BY o_orderkey) AS INTEGER) AS batch FROM orders")
 def batch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """500 contiguous batches whose sizes differ by one at most, the larger first."""
-    o = _numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    o = S.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
     n = table(spark, sf_dir, "orders").agg(F.count("*").alias("_t"))
     i, q, r = F.col("_n") - 1, F.floor(F.col("_t") / 500), F.col("_t") % 500
     batch = F.when(i < r * (q + 1), F.floor(i / (q + 1))).otherwise(r + F.floor((i - r * (q + 1)) / F.greatest(q, F.lit(1)))) + 1
@@ -178,7 +169,9 @@ def batch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("row_index", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1 AS INTEGER) AS idx, toxic FROM labels")
 def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").select("doc_id", (F.row_number().over(Window.partitionBy("toxic").orderBy("doc_id")) - 1).alias("idx"), "toxic")
+    """Places within a few large groups."""
+    r = S.numbered(table(spark, sf_dir, "labels").select("doc_id", "toxic"), ["doc_id"], ["toxic"])
+    return r.select("doc_id", (F.col("_n") - 1).cast("int").alias("idx"), "toxic")
 
 
 @query(

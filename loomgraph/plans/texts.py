@@ -231,14 +231,14 @@ def match_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "dot_combinations",
     """
-    WITH p AS (SELECT p_partkey, string_split(p_name || ' ' || p_brand, ' ') AS ws FROM part WHERE p_size < 5),
+    WITH p AS (SELECT p_partkey, string_split(p_name || ' ' || p_brand, ' ') AS ws FROM part),
     m AS (SELECT p_partkey, ws, unnest(generate_series(1, (1 << len(ws)) - 1)) AS m FROM p WHERE len(ws) <= 8)
     SELECT p_partkey, array_to_string(list_filter(ws, lambda x, i: (m >> (i - 1)) & 1 = 1), '.') AS key FROM m
     """,
 )
 def dot_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All non-empty selections of a name's parts."""
-    p = table(spark, sf_dir, "part").filter("p_size < 5")
+    p = table(spark, sf_dir, "part")
     return p.select("p_partkey", F.explode(T.part_combinations(F.split(F.concat_ws(" ", "p_name", "p_brand"), " "))).alias("key"))
 
 

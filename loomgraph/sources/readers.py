@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import stem
@@ -23,8 +23,13 @@ def headerless(spark: SparkSession, path: str, schema: str, drop: tuple[str, ...
 
 
 def parsed_lines(spark: SparkSession, path: str, pattern: str, names: list[str], skip: int = 0) -> DataFrame:
-    """Lines of a raw file, the first `skip` of each file left out, cut by the groups of a pattern."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).filter((F.col("n") >= skip) & (F.col("value") != ""))
+    """Lines of raw files, the first `skip` of each file left out, cut by the groups of a pattern. Files are read in splits; only
+    lines of a file's first block are numbered."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"))
+    if skip:
+        first = lines.filter("at = 0").withColumn("n", F.row_number().over(Window.partitionBy("f").orderBy(F.monotonically_increasing_id()))).filter(F.col("n") > skip).drop("n")
+        lines = first.unionByName(lines.filter("at > 0"))
+    lines = lines.withColumn("value", F.regexp_replace("value", r"\r$", "")).filter("value <> ''")
     return lines.select(*[F.regexp_extract("value", pattern, i + 1).alias(c) for i, c in enumerate(names)])
 
 
@@ -71,8 +76,8 @@ def articles(spark: SparkSession, path: str, row_tag: str = "p", schema: str = "
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, description, seq, protein_id (from the description, if there) and file of each record."""
-    raw = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_name")).alias("file"), F.explode(F.split("value", "(?m)^>")).alias("r")).filter("trim(r) <> ''")
+    """id, description, seq, protein_id (from the description, if there) and file of each record; a row is one record, not one file."""
+    raw = spark.read.text(path, lineSep="\n>").select(stem(F.col("_metadata.file_name")).alias("file"), F.regexp_replace("value", "^>", "").alias("r")).filter("trim(r) <> ''")
     head = F.regexp_extract("r", "^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("r", "^[^\r\n]*", ""), r"\s+", "")
     return raw.select(F.split_part(head, F.lit(" "), F.lit(1)).alias("id"), head.alias("description"), seq.alias("seq"), F.regexp_extract(head, r"protein_id=([^\]]*)", 1).alias("protein_id"), "file")
@@ -87,7 +92,7 @@ def complete_folders(spark: SparkSession, path: str, files: int = 5) -> DataFram
 
 def ontology(spark: SparkSession, path: str, predicates: list[str]) -> DataFrame:
     """identifier, value, type of an OBO file's terms, for the named keys."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n\s*\[Term\]\s*\n")).alias("t"))
+    raw = spark.read.text(path, lineSep="[Term]").select(F.col("value").alias("t"))
     line = raw.select(F.regexp_extract("t", r"(?m)^id: (\S+)", 1).alias("identifier"), F.explode(F.split("t", "\r?\n")).alias("l")).filter("identifier <> ''")
     kind = F.split_part("l", F.lit(":"), F.lit(1))
     value = F.trim(F.regexp_replace(F.regexp_replace("l", "^[^:]*:", ""), r'^\s*"([^"]*)".*$', "$1"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import similarity, text
-from loomgraph.operators import graph, matching, spans, stats
+from loomgraph.operators import graph, matching, relations, spans, stats
 from loomgraph.operators.components import connected_components
 
 
@@ -69,10 +69,59 @@ def test_resolution_and_consensus(spark):
     assert matching.guard(scored, "k", 3).count() == 2
     c = spark.createDataFrame([("x y", 5), ("y x", 7), ("z", 1)], "w string, n int")
     assert rows(matching.consensus(c, "w", "n"), "w") == [("x y", "y x"), ("y x", "y x"), ("z", "z")]
-    assert rows(matching.consensus_fuzzy(c, "w", "n"), "w") == [("x y", "y x"), ("y x", "y x"), ("z", "z")]
-    keys = spark.createDataFrame([("alpha one",), ("beta 22",), ("gone",)], "key string")
-    names = spark.createDataFrame([("alpha one", 1), ("beta-22", 2)], "name string, id int")
-    assert rows(matching.resolve(keys, names, "key", "name", "id", 80).select("key", "id"), "key") == [("alpha one", 1), ("beta 22", 2)]
+    typed = spark.createDataFrame([("x y", 5, "g"), ("y x", 7, "g"), ("z", 1, "g"), ("x y", 4, "h"), ("y  x", 1, "h")], "w string, n int, kind string")
+    got = {(r["w"], r["kind"]): r["group"] for r in matching.consensus_fuzzy(typed, "w", "n", "kind").collect()}
+    assert got == {("x y", "g"): "x y", ("y x", "g"): "x y", ("z", "g"): "z", ("x y", "h"): "x y", ("y  x", "h"): "x y"}
+
+
+@pytest.mark.parametrize("cutoff", [75, 80, 85, 90])
+def test_no_block_holds_most_names(spark, cutoff):
+    rng = random.Random(3)
+    names = spark.createDataFrame([("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(50)),) for _ in range(300)], "a string")
+    k = names.select(F.explode(matching._blocks(F.col("a"), cutoff)).alias("k"), "a").distinct().groupBy("k").count()
+    assert k.agg(F.max("count")).first()[0] < 300 * (0.75 if cutoff <= 85 else 0.2)
+
+
+def test_partial_join_loses_nothing(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdef.1") for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    names = sorted({*base, *(b[rng.randrange(3) :][: rng.randrange(2, 40)] for b in base for _ in "12"), *(b[:5] + rng.choice("xy") + b[6:] for b in base), *("zz" + b + "q" for b in base)} - {""})
+    df = spark.createDataFrame([(n,) for n in names], "a string")
+    for cutoff in (80, 95):
+        got = {(r["a"], r["b"]) for r in matching.partial_join(df, df.withColumnRenamed("a", "b"), "a", "b", cutoff).collect()}
+        assert got == {(x, y) for x in names for y in names if similarity.partial(x, y) >= cutoff}
+
+
+def test_resolution_in_phases(spark):
+    """Against every key held against every name."""
+    rng = random.Random(5)
+    kinds = ["gss", "biocyc_pgdb", "rs_assembly", "gold_org"]
+    words = ["ecoli", "k12", "mg1655", "atcc", "dsm", "30083", "bl21"]
+    names = sorted({".".join(rng.sample(words, rng.randrange(1, 4))) + rng.choice(["", ".x1", "a"]) for _ in range(60)})
+    vertices = [(n, str(rng.randrange(25)), rng.choice(kinds)) for n in names] + [("GCF_1", "9", "gss")]
+    keys = sorted({rng.choice(names)[rng.randrange(2) :] + rng.choice(["", ".", "q", "zz"]) for _ in range(80)} | {"a.b", ".", "unknown"})
+    v = matching.vocabulary(spark.createDataFrame(vertices, "name string, ident string, kind string"), "_assembly", ("gold_org",), ("GCF_",))
+    able = [x for x in vertices if not x[2].endswith("_assembly") and x[2] != "gold_org" and "GCF_" not in x[0]]
+    assert sorted(map(tuple, v.collect())) == sorted(able)
+
+    def unique(found):  # (score, name, ident, kind)
+        best = [f for f in found if f[0] == max(found)[0]]
+        return min(best, key=lambda f: (f[2], f[1])) if best and len({f[2] for f in best}) == 1 else None
+
+    want = {}
+    for key in keys:
+        s = key.removesuffix(".").removeprefix(".")
+        want[key] = (None, None)
+        if len(s.replace(".", "")) <= 2:
+            continue
+        near = [(similarity.partial(s, n), n, i, k) for n, i, k in able if similarity.partial(s, n) >= 95]
+        one = unique(near) if len(near) < 30 else None
+        if one and not (one[3] == "biocyc_pgdb" and max(similarity.ratio(s, p) for p in text.subsets(one[1].split("."))) <= 90):
+            want[key] = (one[2], "partial")
+        elif one := unique([(similarity.ratio(s, n), n, i, k) for n, i, k in able if similarity.ratio(s, n) >= 90]):
+            want[key] = (one[2], "full")
+    got = {r["key"]: (r["ident"], r["phase"]) for r in matching.resolve(spark.createDataFrame([(k,) for k in keys], "key string"), v, most=30).collect()}
+    assert got == want and {p for _, p in want.values()} >= {None, "partial"}
 
 
 def test_components(spark):
@@ -91,6 +140,9 @@ def test_strong_components(spark):
 def test_betweenness_and_eigenvector(spark):
     path = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
     assert dict(rows(graph.betweenness(path, 2), "id")) == {"a": 0, "b": 2, "c": 2, "d": 0}
+    assert {(r["a"], r["b"]): r["score"] for r in graph.edge_betweenness(path, 2).collect()} == {("a", "b"): 3, ("b", "c"): 4, ("c", "d"): 3}
+    ring = spark.createDataFrame([(str(i), str((i + 1) % 4)) for i in range(4)], "src string, dst string")
+    assert set(dict(rows(graph.betweenness(ring, 2), "id")).values()) == {0.5} and {r["score"] for r in graph.edge_betweenness(ring, 2).collect()} == {2}
     ev = dict(rows(graph.eigenvector(path), "id"))
     assert abs(ev["b"] - ev["c"]) < 1e-6 and abs(ev["b"] / ev["a"] - 1.618) < 1e-2
     m = graph.modularity(path, spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 2)], "id string, community int")).first()[0]
@@ -116,3 +168,24 @@ def test_stats(spark):
     assert tuple(z) == (0, 0, 0)
     s = stats.stratified_split(spark.range(80).withColumn("l", F.col("id") % 2), "l", "id", 0.25, "x")
     assert dict(rows(s.groupBy("split").count(), "split")) == {"dev": 10, "test": 10, "train": 60}
+
+
+def test_numbering(spark):
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, (i * 37) % 200) for i in range(200)], "g int, k int").repartition(5)
+    got = rows(stats.numbered(df, ["k"]).select("_n", "k"), "_n")
+    assert got == [(i + 1, i) for i in range(200)]
+    by = {}
+    for g, n, k in rows(stats.numbered(df, ["k"], ["g"]).select("g", "_n", "k"), "g", "_n"):
+        by.setdefault(g, []).append((n, k))
+    assert all([n for n, _ in x] == list(range(1, len(x) + 1)) and [k for _, k in x] == sorted(k for _, k in x) for x in by.values())
+
+
+def test_relations(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    right = spark.createDataFrame([(1, 5)], "k int, w int")
+    assert rows(relations.one_to_one(left, right, ["k"]), "k") == [(1, "a", 5), (2, "b", None)]
+    with pytest.raises(Exception, match="a key repeats on the right"):
+        relations.one_to_one(left, right.unionByName(right), ["k"]).collect()
+    cells = spark.createDataFrame([("a", "x", 1), ("b", "x", 1), ("b", "y", 1), ("c", "z", 9), ("d", "z", 8)], "c string, r string, n int")
+    assert [r[0] for r in rows(relations.linkage_order(cells, "c", "r", "n"), "place")] == ["a", "b", "c", "d"]
+    assert relations.linkage_order(cells.limit(0), "c", "r", "n").count() == 0
