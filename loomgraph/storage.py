@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,14 +29,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: what follows survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_bucket(df: DataFrame, name: str, column: str, buckets: int, compression: str | None = None) -> tuple[DataFrame, str]:
+    """As materialise, dealt into buckets by a column, so that joins of such tables on it move no rows; and the table's name, for `drop_table`."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    known = "loomgraph_" + path.rsplit("/", 1)[1].replace("-", "_")
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(known)
+    return spark.table(known), known
+
+
+def drop_table(spark: SparkSession, *names: str) -> None:
+    """Forget tables made by `by_bucket` and delete their files."""
+    for name in names:
+        paths = {f.rsplit("/", 1)[0] for f in spark.table(name).inputFiles()}
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        release(spark, *paths)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no plan refers to any more: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete written tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
