@@ -8,9 +8,11 @@ them, in the same conversation if there is one. Each part's original is the one
 earliest message of any conversation with a smaller (conv_id, turn). A message replies to the original of its passage at
 the lowest level, the first such in the text; deeper levels are its originals' quotes and give further links.
 
-Replies form trees; each message carries its root, depth and path, the turns from the root on. Sorting by (root, path)
-orders conversations by replies, so nobody has to gather one. Messages without a linked quote start a tree of their own
-but keep the order of their turns. Ancestors are found by doubling, in as many rounds as the logarithm of the depth.
+Replies form trees; each message carries its root, its depth and its place in the tree. A message only replies to earlier ones,
+so places, in the order of (conv_id, turn), put each message behind the one that it replies to; sorting by root and place
+orders conversations by replies, and nobody has to gather one. Messages without a linked quote start a tree of their own
+but keep the order of their turns. Ancestors are found by doubling, in as many rounds as the logarithm of the depth, with one
+row a message. Large trees are numbered over many tasks.
 
 A quoted passage whose hash very many messages share is no hot group: originals are reduced to the first by partial minima.
 
@@ -30,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import tidy
-from loomgraph.storage import materialise
+from loomgraph.operators.stats import numbered
+from loomgraph.storage import dropped, materialise
 
 _MARK = re.compile(r"[ \t]*>")
 _GAP = re.compile(r"[^0-9a-z\x80-\U0010ffff]+")
@@ -132,27 +135,29 @@ def links(msgs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def link(conversations: DataFrame, least: int = LEAST) -> DataFrame:
-    """conv_id, turn, role, body, n_quotes, n_linked, reply_conv, reply_turn, root_conv, root_turn, depth, path (`conv.turn` from the root on)."""
+    """conv_id, turn, role, body, n_quotes, n_linked, reply_conv, reply_turn, root_conv, root_turn, depth, place (in the tree, from 1)."""
     msgs = materialise(messages(conversations), "messages")
     found = materialise(links(msgs, least), "links")
     parent = found.groupBy("at").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "n", "to")).alias("m")).select("at", "n_linked", F.col("m.to").alias("up"))
     parent = materialise(parent, "parents")
-    # doubling: of each replying message, the farthest ancestor found so far and the path from there
-    state = parent.select("at", "up", F.array("up").alias("line"))
+    # doubling: of each replying message, the farthest ancestor found so far and how many steps away it is
+    state = materialise(parent.select("at", "up", F.lit(1).cast("long").alias("depth")), "ancestors")
     while True:
-        state = materialise(state, "ancestors")
-        more = state.select(F.col("at").alias("up"), F.col("up").alias("up2"), F.col("line").alias("line2"))
+        more = state.select(F.col("at").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
         if not state.join(more, "up", "left_semi").limit(1).count():
             break
-        state = state.join(more, "up", "left").select("at", F.coalesce("up2", "up").alias("up"), F.when(F.col("up2").isNotNull(), F.concat("line2", "line")).otherwise(F.col("line")).alias("line"))
-    tree = state.select("at", F.col("up").alias("root"), "line").join(parent.withColumnRenamed("up", "reply"), "at")
+        new = state.join(more, "up", "left").select("at", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        new = materialise(new, "ancestors")
+        dropped(state)
+        state = new
+    tree = state.select("at", F.col("up").alias("root"), "depth").join(parent.withColumnRenamed("up", "reply"), "at")
     m = msgs.withColumn("at", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.struct(*_id())))
     out = m.join(tree, "at", "left")
-    name = lambda x: F.concat_ws(".", F.lpad(x["conv_id"].cast("string"), 12, "0"), F.lpad(x["turn"].cast("string"), 8, "0"))
-    path = F.array_join(F.transform(F.concat(F.coalesce("line", F.slice(F.array("at"), 1, 0)), F.array("at")), name), "/")
     root = F.coalesce("root", "at")
-    return out.select(
-        "conv_id", "turn", "role", "body", F.size("quoted").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-        F.col("reply.conv_id").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), root["conv_id"].alias("root_conv"), root["turn"].alias("root_turn"),
-        F.coalesce(F.size("line"), F.lit(0)).alias("depth"), F.when(F.col("at").isNotNull(), path).alias("path"),
+    out = out.select(
+        "conv_id", "turn", "copy", "role", "body", F.size("quoted").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+        F.col("reply.conv_id").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), root["conv_id"].alias("root_conv"), root["turn"].alias("root_turn"), root["copy"].alias("_root"),
+        F.coalesce("depth", F.lit(0)).cast("int").alias("depth"),
     )
+    placed = numbered(out, ["conv_id", "turn", "copy"], ["root_conv", "root_turn", "_root"], "place")
+    return placed.withColumn("place", F.when(F.col("root_turn").isNotNull(), F.col("place"))).drop("copy", "_root")
