@@ -12,7 +12,7 @@ Replies form trees; each message carries its root, its depth and its place in th
 so places, in the order of (conv_id, turn), put each message behind the one that it replies to; sorting by root and place
 orders conversations by replies, and nobody has to gather one. Messages without a linked quote start a tree of their own
 but keep the order of their turns. Ancestors are found by doubling, in as many rounds as the logarithm of the depth, with one
-row a message. Large trees are numbered over many tasks.
+row a message. Large trees are numbered over many tasks; equal rows share a place.
 
 A quoted passage whose hash very many messages share is no hot group: originals are reduced to the first by partial minima.
 
@@ -151,13 +151,13 @@ def link(conversations: DataFrame, least: int = LEAST) -> DataFrame:
         dropped(state)
         state = new
     tree = state.select("at", F.col("up").alias("root"), "depth").join(parent.withColumnRenamed("up", "reply"), "at")
+    top = tree.select(F.col("root").alias("at")).distinct().withColumn("root", F.col("at"))
+    # only messages of trees with replies are numbered, by their ids
+    placed = numbered(tree.unionByName(top, allowMissingColumns=True), ["at"], ["root"], "place")
     m = msgs.withColumn("at", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.struct(*_id())))
-    out = m.join(tree, "at", "left")
     root = F.coalesce("root", "at")
-    out = out.select(
-        "conv_id", "turn", "copy", "role", "body", F.size("quoted").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-        F.col("reply.conv_id").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), root["conv_id"].alias("root_conv"), root["turn"].alias("root_turn"), root["copy"].alias("_root"),
-        F.coalesce("depth", F.lit(0)).cast("int").alias("depth"),
+    return m.join(placed, "at", "left").select(
+        "conv_id", "turn", "role", "body", F.size("quoted").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+        F.col("reply.conv_id").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), root["conv_id"].alias("root_conv"), root["turn"].alias("root_turn"),
+        F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), F.when(F.col("at").isNotNull(), F.coalesce("place", F.lit(1))).alias("place"),
     )
-    placed = numbered(out, ["conv_id", "turn", "copy"], ["root_conv", "root_turn", "_root"], "place")
-    return placed.withColumn("place", F.when(F.col("root_turn").isNotNull(), F.col("place"))).drop("copy", "_root")
