@@ -181,15 +181,17 @@ class Encoder:
         self.added = [t.content for t in self.core.get_added_tokens_decoder().values()]  # the library cuts texts at their strings
         self.code = "H" if self.core.get_vocab_size() <= 1 << 16 else "I"
         self.shown = str.maketrans({chr(b): c for b, c in _STAND_INS.items()})
+        self.model, self.shown_before = self.core.model, {"": "", " ": _STAND_INS[0x20]}
         self.most, self.first, self.later = most, _Known(self, ""), _Known(self, " ")
         self.line_end = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.core.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def letters(self, text: str) -> bytes:
-        """Of one pre-token: the library's merges without its other steps."""
-        return array(self.code, [t.id for t in self.core.model.tokenize(text.encode().decode("latin-1").translate(self.shown))]).tobytes()
+    def letters(self, before: str, word: str) -> bytes:
+        """Of one pre-token, letters behind `before`: the library's merges without its other steps. ASCII letters stand for themselves."""
+        shown = self.shown_before[before] + word if word.isascii() else (before + word).encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -213,9 +215,10 @@ class _Known(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            base = word.rstrip(".,;:!?*&$%#|")
-            if base.isalpha():
-                ids = self.encoder.letters(self.before + word) if len(base) == len(word) else self[base] + self.encoder.first[word[len(base) :]]
+            if word.isalpha():
+                ids = self.encoder.letters(self.before, word)
+            elif (base := word.rstrip(".,;:!?*&$%#|")).isalpha():
+                ids = self[base] + self.encoder.first[word[len(base) :]]
             else:
                 ids = self.encoder.whole(self.before + word)
         if len(word) <= 40:
