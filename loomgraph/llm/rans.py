@@ -17,6 +17,8 @@ i64 is reserved for it); repeated doc_ids are kept, ordered by their ids; an emp
 
 from __future__ import annotations
 
+import codecs
+import re
 import struct
 import zlib
 from array import array
@@ -25,7 +27,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -164,6 +165,7 @@ class Segment:
 #: The printable stand-ins that byte-level vocabularies use for the 256 bytes (printable Latin-1 for itself, then U+0100 on).
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _STAND_INS = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+_SHOWN_AS = "".join(_STAND_INS[b] for b in range(256))
 
 
 class Encoder:
@@ -174,13 +176,12 @@ class Encoder:
     with letters beyond the Latin blocks, on whose classes two regex engines might differ, go to the library whole.
     """
 
-    plain = regex.compile(r"[^!-~ \n¡-ɏ‐-‧]")
+    plain = re.compile(r"[^!-~ \n¡-ɏ‐-‧]")
 
     def __init__(self, path: str, most: int = 450_000):
         self.core = Tokenizer.from_file(path)
         self.added = [t.content for t in self.core.get_added_tokens_decoder().values()]  # the library cuts texts at their strings
         self.code = "H" if self.core.get_vocab_size() <= 1 << 16 else "I"
-        self.shown = str.maketrans({chr(b): c for b, c in _STAND_INS.items()})
         self.model, self.shown_before = self.core.model, {"": "", " ": _STAND_INS[0x20]}
         self.most, self.first, self.later = most, _Known(self, ""), _Known(self, " ")
         self.line_end = self.whole("\n")
@@ -190,21 +191,28 @@ class Encoder:
 
     def letters(self, before: str, word: str) -> bytes:
         """Of one pre-token, letters behind `before`: the library's merges without its other steps. ASCII letters stand for themselves."""
-        shown = self.shown_before[before] + word if word.isascii() else (before + word).encode().decode("latin-1").translate(self.shown)
+        shown = self.shown_before[before] + (word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", _SHOWN_AS)[0])
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.plain.search(text) or any(t in text for t in self.added):
+        if self.plain.search(text) or any(t in text for t in self.added):
             return self.whole(text)
         first, later, out = self.first.__getitem__, self.later.__getitem__, []
-        for line in text.split("\n"):
-            w = line.split(" ")
-            out.append(first(w[0]) + b"".join(map(later, w[1:])))
+        try:
+            for line in text.split("\n"):
+                words = iter(line.split(" "))
+                out.append(first(next(words)) + b"".join(map(later, words)))
+        except _NoWord:  # white space next to white space or at an end
+            return self.whole(text)
         return self.line_end.join(out)
 
 
+class _NoWord(Exception):
+    """There is nothing between two boundaries."""
+
+
 class _Known(dict):
     """word -> ids; two generations, so that frequent words stay when the younger one is full."""
 
@@ -213,12 +221,17 @@ class _Known(dict):
         self.encoder, self.before, self.older = encoder, before, {}
 
     def __missing__(self, word: str) -> bytes:
+        if not word:
+            raise _NoWord
         ids = self.older.get(word)
         if ids is None:
             if word.isalpha():
                 ids = self.encoder.letters(self.before, word)
             elif (base := word.rstrip(".,;:!?*&$%#|")).isalpha():
+                new = base not in self
                 ids = self[base] + self.encoder.first[word[len(base) :]]
+                if new:  # most such words do not come again
+                    return ids
             else:
                 ids = self.encoder.whole(self.before + word)
         if len(word) <= 40:
@@ -239,16 +252,21 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, ids (binary, u16 where the vocabulary allows it, else u32; end_id last)."""
+    """doc_id, n, ids (binary, u16 where the vocabulary allows it, else u32; end_id last); and from each task a row without n: how often each id occurs there (counts, binary, i64)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = array(enc.code, [end_id]).tobytes()
+        names, vocabulary = ["doc_id", "n", "ids", "counts"], enc.core.get_vocab_size()
+        total = np.zeros(vocabulary, np.int64)
         for b in batches:
             ids = [enc(t.as_py()) + end for t in b.column("t")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+            for at in range(0, len(ids), 100):
+                total += np.bincount(np.frombuffer(b"".join(ids[at : at + 100]), _kind(vocabulary)), minlength=vocabulary)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(tidy(run), "doc_id long, n long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(tidy(run), "doc_id long, n long, ids binary, counts binary")
 
 
 def _kind(vocabulary: int) -> str:
@@ -256,18 +274,18 @@ def _kind(vocabulary: int) -> str:
 
 
 def count(tokens: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each id occurs in the whole table: summed in each task, then over tasks; one row for each id."""
+    """How often each id occurs in the whole table: the rows of `tokenise` without n, summed; one row for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for i in b.column("ids"):
-                total += np.bincount(np.frombuffer(i.as_buffer(), _kind(vocabulary)), minlength=vocabulary)
+            for c in b.column("counts"):
+                total += np.frombuffer(c.as_buffer(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "k"])
 
     out = np.zeros(vocabulary, np.int64)
-    for r in tokens.select("ids").mapInArrow(tidy(run), "id long, k long").groupBy("id").agg(F.sum("k").alias("k")).toArrow().to_batches():
+    for r in tokens.filter("n IS NULL").select("counts").mapInArrow(tidy(run), "id long, k long").groupBy("id").agg(F.sum("k").alias("k")).toArrow().to_batches():
         out[r.column("id").to_numpy()] = r.column("k").to_numpy()
     return out
 
@@ -343,6 +361,6 @@ def encode(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     path = path or new_path(spark, "rans")
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
     tokens = materialise(tokenise(docs, tokenizer, end_id, id_col, text_col), "ids")
-    write(tokens, frequencies(count(tokens, vocabulary)), path)
+    write(tokens.filter("n IS NOT NULL").drop("counts"), frequencies(count(tokens, vocabulary)), path)
     release(spark, *{f.rsplit("/", 1)[0] for f in tokens.inputFiles()})
     return path

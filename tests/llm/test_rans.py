@@ -65,3 +65,21 @@ def test_files(spark, monkeypatch):
     order = [(-1 if r["doc_id"] is None else r["doc_id"]) for r in sorted(got, key=lambda r: r["start"])]
     assert order == sorted(order)
     assert rans.read(spark, rans.encode(docs.limit(0), PATH)).count() == 0
+
+
+def test_counts_come_with_the_ids(spark):
+    docs = spark.createDataFrame([(i, f"Word {i % 9}, and é{i}" if i else None) for i in range(50)], "doc_id long, text string").repartition(4)
+    lib = Tokenizer.from_file(PATH)
+    tokens = rans.tokenise(docs, PATH)
+    assert tokens.filter("n IS NOT NULL").count() == 50 and tokens.filter("n IS NULL AND ids IS NULL").count() == 4
+    want = np.zeros(lib.get_vocab_size(), np.int64)
+    for r in docs.collect():
+        np.add.at(want, [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 0], 1)
+    assert (rans.count(tokens, len(want)) == want).all()
+
+
+def test_words_with_punctuation_are_kept_once_their_letters_are_known():
+    enc, lib = rans.Encoder(PATH), Tokenizer.from_file(PATH)
+    for k, text in enumerate(["x ciónmita. y", "y ciónmita. ciónmita", "ciónmita. ciónmita."]):
+        assert np.frombuffer(enc(text), "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert "ciónmita" in enc.later and ("ciónmita." in enc.later) == (k > 0)
