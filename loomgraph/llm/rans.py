@@ -23,6 +23,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomgraph.llm.common import tidy
+from loomgraph.llm.common import slices, small_batches, tidy
 from loomgraph.storage import materialise, new_path, release
 
 MAGIC = b"LGR1"
@@ -259,10 +260,9 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id"
         end = array(enc.code, [end_id]).tobytes()
         names, vocabulary = ["doc_id", "n", "ids", "counts"], enc.core.get_vocab_size()
         total = np.zeros(vocabulary, np.int64)
-        for b in batches:
+        for b in slices(batches):
             ids = [enc(t.as_py()) + end for t in b.column("t")]
-            for at in range(0, len(ids), 100):
-                total += np.bincount(np.frombuffer(b"".join(ids[at : at + 100]), _kind(vocabulary)), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(b"".join(ids), _kind(vocabulary)), minlength=vocabulary)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
@@ -318,7 +318,7 @@ def write(tokens: DataFrame, f: np.ndarray, path: str) -> None:
 
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(tidy(run), LAYOUT).write.parquet(f"{path}/segments")
-    spark.createDataFrame([(SCALE, f.astype("<u4").tobytes())], "scale int, frequencies binary").write.parquet(f"{path}/table")
+    spark.createDataFrame(pa.table({"scale": pa.array([SCALE], pa.int32()), "frequencies": pa.array([f.astype("<u4").tobytes()], pa.binary())})).write.parquet(f"{path}/table")
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -329,11 +329,10 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     shared = spark.sparkContext.broadcast(np.frombuffer(head["frequencies"], "<u4"))
     segments = spark.read.schema(LAYOUT).parquet(f"{path}/segments")
     sizes = segments.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min("first_doc").alias("d"), F.max(F.col("first_doc").isNull()).alias("null")).collect()  # a row for each written part
-    begin, total = [], 0
-    for r in sorted(sizes, key=lambda r: (not r["null"], r["d"] or 0)):
-        begin.append((r["part"], total))
-        total += r["n"]
-    starts = spark.createDataFrame(begin, "part int, base long") if begin else spark.createDataFrame([], "part int, base long")
+    sizes.sort(key=lambda r: (not r["null"], r["d"] or 0))
+    base = [0, *accumulate(r["n"] for r in sizes)][: len(sizes)]
+    # Arrow tables stay in the JVM; lists would start Python workers for RDDs on the executors, which then stay
+    starts = spark.createDataFrame(pa.table({"part": pa.array([r["part"] for r in sizes], pa.int32()), "base": pa.array(base, pa.int64())}))
     placed = segments.join(F.broadcast(starts), "part").select((F.col("base") + F.col("inside")).alias("start"), "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +359,8 @@ def encode(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     spark = docs.sparkSession
     path = path or new_path(spark, "rans")
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
-    tokens = materialise(tokenise(docs, tokenizer, end_id, id_col, text_col), "ids")
-    write(tokens.filter("n IS NOT NULL").drop("counts"), frequencies(count(tokens, vocabulary)), path)
+    with small_batches(spark):
+        tokens = materialise(tokenise(docs, tokenizer, end_id, id_col, text_col), "ids")
+        write(tokens.filter("n IS NOT NULL").drop("counts"), frequencies(count(tokens, vocabulary)), path)
     release(spark, *{f.rsplit("/", 1)[0] for f in tokens.inputFiles()})
     return path

@@ -3,10 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from loomgraph.llm import rans
+from loomgraph.llm.common import small_batches
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -83,3 +85,42 @@ def test_words_with_punctuation_are_kept_once_their_letters_are_known():
     for k, text in enumerate(["x ciónmita. y", "y ciónmita. ciónmita", "ciónmita. ciónmita."]):
         assert np.frombuffer(enc(text), "<u2").tolist() == lib.encode(text, add_special_tokens=False).ids
         assert "ciónmita" in enc.later and ("ciónmita." in enc.later) == (k > 0)
+
+
+def test_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2500)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    before = spark.conf.get(name)
+    with small_batches(spark):
+        assert sorted(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) == [500, 1000, 1000]
+    with pytest.raises(KeyError), small_batches(spark, 10):
+        raise KeyError
+    assert spark.conf.get(name) == before
+
+
+def test_ids_leave_a_task_in_small_batches(spark):
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = [f"word {i}" for i in range(250)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(250), pa.int64()), pa.array(texts)], ["id", "t"])
+    assert [b.num_rows for b in rans.tokenise(Docs(), PATH)(iter([batch]))] == [100, 100, 50, 1]
+
+
+def test_files_start_no_workers_but_those_of_the_operator(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"Word {i}") for i in range(20)], "doc_id long, text string")
+    got, held = [], []
+    count = rans.count
+    monkeypatch.setattr(rans, "count", lambda *a: held.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or count(*a))
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *_: got.append("an RDD of Python rows"))
+    assert rans.read(spark, rans.encode(docs, PATH)).count() == 20
+    assert not got and held == ["1000"]
