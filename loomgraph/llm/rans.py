@@ -23,11 +23,12 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -39,6 +40,8 @@ MAGIC = b"LGR1"
 SCALE, LANES, BLOCK, STEPS = 20, 1024, 1 << 18, 64
 #: Ids of a segment at least, unless a partition ends; a longer document is not cut.
 SEGMENT = 1 << 21
+#: Bytes of the texts whose words are looked up together, one text at least.
+RUN = 1 << 21
 NULL_ID = -(1 << 63)
 LAYOUT = "part int, segment int, inside long, n_ids long, first_doc long, data binary"
 
@@ -81,8 +84,8 @@ def encode_block(ids: np.ndarray, t: Table) -> tuple[list[tuple[int, np.ndarray]
     x = np.full(LANES, _LOW)
     out, marks, written = [], [], 0
     for turn in range(turns - 1, -1, -1):
-        s = ids[turn * LANES : (turn + 1) * LANES]
-        f, v = t.f[s], x[: len(s)]
+        s = ids[turn * LANES : (turn + 1) * LANES].astype(np.intp)
+        f, v = t.f.take(s), x[: len(s)]
         over = v >= f << _ROOM
         if over.any():
             w = v[over]
@@ -90,7 +93,7 @@ def encode_block(ids: np.ndarray, t: Table) -> tuple[list[tuple[int, np.ndarray]
             written += len(w)
             v[over] = w >> _32
         q = v // f
-        x[: len(s)] = (q << _M) + (v - q * f) + t.c[s]
+        x[: len(s)] = (q << _M) + (v - q * f) + t.c.take(s)
         if turn % STEPS == 0:
             marks.append((written, x.copy()))
     words = np.concatenate(out[::-1]) if out else np.empty(0, "<u4")
@@ -104,9 +107,9 @@ def decode_part(n: int, states: np.ndarray, words: np.ndarray, t: Table) -> np.n
         m = min(LANES, n - begin)
         v = x[:m]
         slot = v & _SLOT
-        s = t.symbol[slot]
+        s = t.symbol.take(slot.view(np.int64)).astype(np.intp)
         out[begin : begin + m] = s
-        v = t.f[s] * (v >> _M) + slot - t.c[s]
+        v = t.f.take(s) * (v >> _M) + slot - t.c.take(s)
         low = v < _LOW
         k = int(low.sum())
         if k:
@@ -196,22 +199,35 @@ class Encoder:
         return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.plain.search(text) or any(t in text for t in self.added):
-            return self.whole(text)
-        first, later, out = self.first.__getitem__, self.later.__getitem__, []
-        try:
-            for line in text.split("\n"):
-                words = iter(line.split(" "))
-                out.append(first(next(words)) + b"".join(map(later, words)))
-        except _NoWord:  # white space next to white space or at an end
-            return self.whole(text)
-        return self.line_end.join(out)
-
-
-class _NoWord(Exception):
-    """There is nothing between two boundaries."""
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """Each word of the texts is looked up once. A text's first word bears the mark \\r, which no such text holds, and a line's first one its \\n."""
+        out = [b""] * len(texts)
+        plain, whole = [], []
+        for i, text in enumerate(texts):
+            if text:
+                (whole if self.plain.search(text) or any(t in text for t in self.added) else plain).append(i)
+        words = pc.split_pattern(pa.array(["\r" + texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+        known = words.values.dictionary_encode()
+        later = self.later.__getitem__
+        ids = pa.array([later(w) if w >= " " else self.begin(w) for w in known.dictionary.to_numpy(zero_copy_only=False).tolist()], pa.large_binary()).take(known.indices)
+        at = words.offsets.to_numpy()
+        if ids.null_count:
+            odd = np.add.reduceat(ids.is_null().to_numpy(zero_copy_only=False), at[:-1], dtype=np.int64)  # a text has one word at least
+            whole += [i for i, n in zip(plain, odd.tolist(), strict=True) if n]
+        _, offsets, data = ids.buffers()
+        if data is not None:
+            bounds = np.frombuffer(offsets, np.int64)[at].tolist()
+            for i, a, b in zip(plain, bounds, bounds[1:], strict=False):
+                out[i] = data[a:b].to_pybytes()
+        for i in whole:
+            out[i] = self.whole(texts[i])
+        return out
+
+    def begin(self, word: str) -> bytes | None:
+        """Ids of a marked word; None where there is nothing between two boundaries: white space next to white space or at an end."""
+        return (self.line_end if word[0] == "\n" else b"") + self.first[word[1:]] if word[1:] else None
 
 
 class _Known(dict):
@@ -222,8 +238,6 @@ class _Known(dict):
         self.encoder, self.before, self.older = encoder, before, {}
 
     def __missing__(self, word: str) -> bytes:
-        if not word:
-            raise _NoWord
         ids = self.older.get(word)
         if ids is None:
             if word.isalpha():
@@ -252,6 +266,17 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most RUN bytes of text `t`, one row at least."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("t")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + RUN, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def tokenise(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n, ids (binary, u16 where the vocabulary allows it, else u32; end_id last); and from each task a row without n: how often each id occurs there (counts, binary, i64)."""
 
@@ -260,10 +285,12 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id"
         end = array(enc.code, [end_id]).tobytes()
         names, vocabulary = ["doc_id", "n", "ids", "counts"], enc.core.get_vocab_size()
         total = np.zeros(vocabulary, np.int64)
-        for b in slices(batches):
-            ids = [enc(t.as_py()) + end for t in b.column("t")]
-            total += np.bincount(np.frombuffer(b"".join(ids), _kind(vocabulary)), minlength=vocabulary)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        for some in runs(batches):
+            out = iter(enc.batch(some.column("t").to_pylist()))
+            for b in slices(iter([some])):
+                ids = [i + end for i in islice(out, b.num_rows)]
+                total += np.bincount(np.frombuffer(b"".join(ids), _kind(vocabulary)), minlength=vocabulary)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(tidy(run), "doc_id long, n long, ids binary, counts binary")

@@ -124,3 +124,54 @@ def test_files_start_no_workers_but_those_of_the_operator(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *_: got.append("an RDD of Python rows"))
     assert rans.read(spark, rans.encode(docs, PATH)).count() == 20
     assert not got and held == ["1000"]
+
+
+def test_each_word_of_a_batch_is_looked_up_once(monkeypatch):
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    class Column:
+        def cast(self, _):
+            return self
+
+        def alias(self, _):
+            return self
+
+    asked = []
+
+    class Counted(rans._Known):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    enc, lib = rans.Encoder(PATH), Tokenizer.from_file(PATH)
+    enc.later = Counted(enc, " ")
+    monkeypatch.setattr(rans, "_encoders", {PATH: enc})
+    monkeypatch.setattr(rans.F, "col", lambda _: Column())
+    texts = ["one two three two", None, "one two\nthree two three", "", "two  three", "three two"] * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "t"])
+    *got, counts = rans.tokenise(Docs(), PATH)(iter([batch]))
+    ids = [np.frombuffer(i, "<u2").tolist() for b in got for i in b.column("ids").to_pylist()]
+    assert ids == [[*lib.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert sorted(asked) == ["three", "two"]
+
+
+def test_batches_like_whole_texts():
+    enc, lib = rans.Encoder(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(3)
+    pieces = ["a", " b", " 's", "'re", "\n", "  ", " ", "Éta", "ñ9", "12", "!?", "日本", "\t", "\r", " ", "<|endoftext|>", "…", "x\ny", "no.", "\x00", "word word", " word"]
+    for size in (0, 1, 7, 200):
+        texts = [rng.choice([None, "", "".join(rng.choice(pieces[rng.randrange(2) * 20 :]) for _ in range(rng.randrange(12)))]) for _ in range(size)]
+        got = [np.frombuffer(i, "<u2").tolist() for i in enc.batch(texts)]
+        assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_runs_are_bounded(monkeypatch):
+    monkeypatch.setattr(rans, "RUN", 10)
+    texts = ["x" * n if n is not None else None for n in (3, 0, 7, 1, 30, None, 10, 9, 1, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    assert [b.column("t").to_pylist() for b in rans.runs(iter([batch, batch.slice(4, 0), batch.slice(4)]))] == [texts[a:b] for a, b in [(0, 3), (3, 4), (4, 5), (5, 7), (7, 9), (9, 10), (4, 5), (5, 7), (7, 9), (9, 10)]]
