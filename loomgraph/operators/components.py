@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,20 +31,32 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             up = up[up]
 
 
+def _forest(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """As `forest`, of Arrow arrays: the ids are numbered in their order, so strings stay in Arrow's memory."""
+    both = pa.concat_arrays((u, v)).dictionary_encode()
+    order = pc.sort_indices(both.dictionary)
+    place = np.empty(len(order), np.int32)
+    place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    at = place[both.indices.to_numpy()]
+    ids, least = forest(at[: len(u)], at[len(u) :])
+    names = both.dictionary.take(order)
+    return names.take(pa.array(ids)), names.take(pa.array(least))
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's edges, a row (id, smallest id reached) for each id."""
-    kind, parts, size = None, [], 0
+    parts, size = [], 0
+    joined = lambda: (pa.concat_arrays([p[c] for p in parts]) for c in (0, 1))
     for b in batches:
-        kind = b.schema.field(0).type
-        parts.append([b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)])
+        parts.append((b.column(0), b.column(1)))
         size += b.num_rows
         if size >= CHUNK and len(parts) > 1:
-            parts = [list(forest(*map(np.concatenate, zip(*parts, strict=True))))]
+            parts = [_forest(*joined())]
             size = len(parts[0][0]) // 2  # what is left may be as large as the task's ids
     if parts:
-        ids, least = forest(*map(np.concatenate, zip(*parts, strict=True)))
+        ids, least = _forest(*joined())
         for at in range(0, len(ids), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000], kind) for x in (ids, least)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([ids[at : at + 100_000], least[at : at + 100_000]], ["u", "v"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
